@@ -249,8 +249,9 @@ def cover_ranks(text: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     ranks = np.zeros(n + 8 * PERIOD + 1, np.int64)
     ranks[pos] = _dense(words[pos], words[pos + 8] >> np.uint64(24))
     step = PERIOD
-    while step < 104:
-        ranks[pos] = _dense(ranks[pos], ranks[pos + step])
+    while step < 104:  # two ranks fit a word
+        pair = (ranks[pos].astype(np.uint64) << np.uint64(32)) | ranks[pos + step].astype(np.uint64)
+        ranks[pos] = np.unique(pair, return_inverse=True)[1] + 1
         step *= 2
     return ranks
 
@@ -260,13 +261,13 @@ SHIFT = np.array([next(s for s in range(PERIOD) if (r + s) % PERIOD in COVER) fo
 
 
 def firsts(meta: np.ndarray, data: list[bytes], length: int = LENGTH, limit: int = 1 << 20) -> np.ndarray:
-    """Rows of (column of meta, window start): the first member of each class of equal windows.
+    """Rows of (column of meta, first and last start): runs of windows that are the first of their class.
 
     meta: anchor hash, doc_id, ordinal, first and last start, anchor offset, block of each segment. The
     anchors are taken in runs of about limit bytes, so memory follows the run and not the bucket.
     """
     out = []
-    order = np.argsort(meta[0], kind="stable")
+    order = np.lexsort((meta[3], meta[2], meta[6], meta[1], meta[0]))
     sizes = np.array([len(x) for x in data], np.int64)[order]
     h = meta[0][order]
     edge = np.append(np.flatnonzero(np.append(True, h[1:] != h[:-1])), len(h))
@@ -291,26 +292,28 @@ def firsts(meta: np.ndarray, data: list[bytes], length: int = LENGTH, limit: int
         off = np.arange(len(col)) - np.repeat(np.cumsum(counts) - counts, counts)
         pos = np.array(starts, np.int64)[col] + off
         col = cols[col]
-        # one suffix bucket: leading bytes, then the cover rank, within a residue and an anchor
-        r = pos % PERIOD
-        rank = ranks[pos + SHIFT[r]]
-        a, b = words[pos], words[pos + 8] >> np.uint64(24)
+        # one suffix sub-bucket: anchor, offset to it and the bytes up to the next sample; then the cover rank
+        shift = SHIFT[pos % PERIOD]
         start = meta[3][col] + off
-        rel = start - meta[5][col]
-        by = np.lexsort((start, meta[2][col], meta[6][col], meta[1][col], rank, b, a, rel, meta[0][col]))
+        anchor = np.cumsum(np.append(0, np.diff(meta[0][cols]) != 0))
+        group = np.repeat(anchor, counts) * length + (meta[5][col] - start)
+        lead = (words[pos] >> (np.uint64(64) - np.uint64(8) * shift.astype(np.uint64)).clip(0, 63)) * (shift > 0)
+        key = (group.astype(np.uint64) << np.uint64(40)) | lead
+        by = np.lexsort((ranks[pos + shift], key))
         p = pos[by]
-        same = (meta[0][col[by[1:]]] == meta[0][col[by[:-1]]]) & (rel[by[1:]] == rel[by[:-1]]) & (a[by[1:]] == a[by[:-1]])
-        at = np.flatnonzero(same)
-        for k in [*range(8, length - 8, 8), length - 8]:  # whole bytes decide
+        at = np.flatnonzero(key[by[1:]] == key[by[:-1]])
+        for k in [*range(0, length - 8, 8), length - 8]:  # whole bytes decide
             at = at[words[p[at] + k] == words[p[at + 1] + k]]
         eq = np.zeros(len(p), bool)
         eq[at + 1] = True
-        # within a class members may be ordered by what follows it: take the least
-        cls = np.cumsum(~eq) - 1
-        least = np.lexsort((start[by], meta[2][col[by]], meta[6][col[by]], meta[1][col[by]], cls))
-        lead = least[np.append(True, cls[least][1:] != cls[least][:-1])]
-        out.append(np.stack([col[by][lead], start[by][lead]]))
-    return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+        # rows are in document order, so the least row of a class is its first member
+        least = np.minimum.reduceat(by, np.flatnonzero(~eq))
+        least.sort()
+        # runs of consecutive starts
+        new = np.append(True, (col[least[1:]] != col[least[:-1]]) | (start[least[1:]] != start[least[:-1]] + 1))
+        at = np.flatnonzero(new)
+        out.append(np.stack([col[least[at]], start[least[at]], start[least[np.append(at[1:], len(least)) - 1]]]))
+    return np.concatenate(out, axis=1) if out else np.empty((3, 0), np.int64)
 
 
 def _sort_bucket(buckets: int, length: int):
@@ -327,7 +330,7 @@ def _sort_bucket(buckets: int, length: int):
             by = np.lexsort((m[4], m[3], block, m[2], m[1], m[0]))
             m, block = m[:, by], block[by]
             lead = np.append(True, (m[0][1:] != m[0][:-1]) | (m[1][1:] != m[1][:-1]))
-            rows = [(b, 1, np.stack([m[3][lead][i], m[4][lead][i]]).tobytes()) for b, i in _split(block[lead])]
+            rows = [(b, 1, np.stack([m[3][lead][i], m[4][lead][i], m[4][lead][i]]).tobytes()) for b, i in _split(block[lead])]
         else:
             metas = [m.reshape(6, -1) for m in metas]
             m = np.concatenate(metas, axis=1)
@@ -339,7 +342,7 @@ def _sort_bucket(buckets: int, length: int):
                     data.append(blob[at : at + n])
                     at += n
             found = firsts(np.concatenate([m, block[None]]), data, length)
-            rows = [(b, 1, np.stack([m[2][found[0][i]], found[1][i]]).tobytes()) for b, i in _split(block[found[0]])]
+            rows = [(b, 1, np.stack([m[2][found[0][i]], found[1][i], found[2][i]]).tobytes()) for b, i in _split(block[found[0]])]
         return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "runs": pa.array([r[2] for r in rows], pa.binary())})
 
     return run
@@ -350,7 +353,7 @@ def _remove(length: int, texts_too: bool):
         ids, texts = _documents(docs) if docs.num_rows else ([], [])
         kinds, blobs = found.column("kind").to_pylist(), [np.frombuffer(x, np.int64) for x in found.column("runs").to_pylist()]
         ranges = np.concatenate([np.empty((3, 0), np.int64), *(b.reshape(3, -1) for k, b in zip(kinds, blobs) if k == 0)], axis=1)
-        first = np.concatenate([np.empty((2, 0), np.int64), *(b.reshape(2, -1) for k, b in zip(kinds, blobs) if k == 1)], axis=1)
+        first = np.concatenate([np.empty((3, 0), np.int64), *(b.reshape(3, -1) for k, b in zip(kinds, blobs) if k == 1)], axis=1)
         ranges, first = ranges[:, np.argsort(ranges[0], kind="stable")], first[:, np.argsort(first[0], kind="stable")]
         docs_at = np.arange(len(ids) + 1)
         r_at, f_at = np.searchsorted(ranges[0], docs_at), np.searchsorted(first[0], docs_at)
@@ -363,7 +366,10 @@ def _remove(length: int, texts_too: bool):
                 np.add.at(step, lo, 1)
                 np.add.at(step, hi + 1, -1)
                 marked = np.cumsum(step)[:n] > 0
-                marked[first[1, f_at[i] : f_at[i + 1]]] = False
+                step[:] = 0
+                np.add.at(step, first[1, f_at[i] : f_at[i + 1]], 1)
+                np.add.at(step, first[2, f_at[i] : f_at[i + 1]] + 1, -1)
+                marked &= np.cumsum(step)[:n] == 0
                 s = np.flatnonzero(marked)
                 if len(s):
                     step = np.zeros(n + length + 1, np.int32)
@@ -393,7 +399,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     size = total_bytes(docs, text_col)
     blocks = max(1, -(-size // block_bytes))
-    buckets = max(1, -(-size // (4 * bucket_bytes)))
+    buckets = max(1, -(-size // (2 * bucket_bytes)))
     parts = max(min(blocks, parallelism(spark)), -(-blocks // 8))
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     base = base.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))).repartition(parts, "block")
