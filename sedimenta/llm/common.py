@@ -67,12 +67,6 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
 
 
-def set_batch(spark: SparkSession, rows: int) -> None:
-    """Arrow batches of long texts stay small; applies to plans that run after it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def ensure_file(path: str) -> str:
-    if not os.path.exists(path):
-        raise FileNotFoundError(path)
-    return path
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Arrow batches are cut by bytes, so that long texts don't fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))

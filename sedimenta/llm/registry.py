@@ -6,6 +6,11 @@ from importlib import import_module
 
 MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
+    "op4_mixing": "mixing",
+    "op5_quality_rules": "quality_rules",
+    "op7_gif_media": "gif_media",
+    "op9_minhash": "minhash",
+    "op10_warc": "warc",
 }
 
 
