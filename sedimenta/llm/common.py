@@ -70,3 +70,9 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Arrow batches are cut by bytes, so that long texts don't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+
+
+def ensure_file(path: str) -> str:
+    if not os.path.exists(path):
+        raise FileNotFoundError(path)
+    return path

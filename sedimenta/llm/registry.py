@@ -6,9 +6,13 @@ from importlib import import_module
 
 MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
+    "op2_secret_scan": "secret_scan",
+    "op3_byte_bpe": "byte_bpe",
     "op4_mixing": "mixing",
     "op5_quality_rules": "quality_rules",
+    "op6_language_id": "language_id",
     "op7_gif_media": "gif_media",
+    "op8_quality_bayes": "quality_bayes",
     "op9_minhash": "minhash",
     "op10_warc": "warc",
 }
