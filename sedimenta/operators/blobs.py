@@ -320,7 +320,7 @@ def stride_elim(data: bytes) -> bytes:
         if n < 8 or len(data) % w:
             continue
         x = np.frombuffer(data, f"<u{w}")
-        line = (x[0] + np.arange(n, dtype=x.dtype) * (x[1] - x[0])).astype(x.dtype)
+        line = x[:1] + np.arange(n, dtype=x.dtype) * (x[1:2] - x[:1])  # wraps, as arrays do
         off = np.flatnonzero(x != line)
         if len(off) * 10 <= n:
             return bytes([w]) + varint(n) + x[:2].tobytes() + off.astype("<u4").tobytes() + x[off].tobytes()
@@ -332,10 +332,10 @@ def unstride_elim(data: bytes) -> bytes:
     if not w:
         return data[1:]
     n, at = read_varint(data, 1)
-    x0, x1 = np.frombuffer(data, f"<u{w}", 2, at)
+    head = np.frombuffer(data, f"<u{w}", 2, at)
     k = (len(data) - at - 2 * w) // (4 + w)
     off = np.frombuffer(data, "<u4", k, at + 2 * w)
-    out = (x0 + np.arange(n, dtype=f"<u{w}") * (x1 - x0)).astype(f"<u{w}")
+    out = head[:1] + np.arange(n, dtype=head.dtype) * (head[1:] - head[:1])
     out[off] = np.frombuffer(data, f"<u{w}", k, at + 2 * w + 4 * k)
     return out.tobytes()
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 MIN, AVG, MAX = 4 << 10, 64 << 10, 1 << 20
-_GEAR = np.random.Generator(np.random.PCG64(90210)).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_GEAR = np.random.Generator(np.random.PCG64(90210)).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
 def cut_points(data: bytes, least: int = MIN, average: int = AVG, most: int = MAX) -> list[int]:
@@ -24,7 +24,7 @@ def cut_points(data: bytes, least: int = MIN, average: int = AVG, most: int = MA
     h = np.zeros(len(a), np.uint64)
     for k in range(min(bits, len(a))):
         h[k:] += a[: len(a) - k] << np.uint64(k)
-    cuts = np.flatnonzero(h & np.uint64((1 << bits) - 1) == 0) + 1
+    cuts = np.flatnonzero((h & np.uint64((1 << bits) - 1)) == 0) + 1
     out, at = [], 0
     while at < len(data):
         i = int(np.searchsorted(cuts, at + least))

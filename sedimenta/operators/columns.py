@@ -201,7 +201,8 @@ def arith_decomp(df: DataFrame, order_by: list[str], col: str, modulus: int | No
 
 
 def arith_compose(df: DataFrame, out: str = "value") -> DataFrame:
-    return df.withColumn(out, F.col("quotient") * F.col("modulus") + F.col("remainder"))
+    exact = F.col("quotient").cast("decimal(20,0)") * F.col("modulus").cast("decimal(10,0)") + F.col("remainder")
+    return df.withColumn(out, exact.cast("long"))  # the product alone may pass the least long
 
 
 def float_xor(df: DataFrame, order_by: list[str], col: str) -> DataFrame:

@@ -80,10 +80,10 @@ def log_hint(s: Column) -> Column:
     return out
 
 
-def format_hint(s: Column, ascii_ratio: Column | None = None) -> Column:
-    """json, xml, csv, log or binary by ordered rules, null where none fits. s: text, or bytes decoded as ISO-8859-1."""
+def format_hint(s: Column, ascii_ratio: Column | None = None, raw: Column | None = None) -> Column:
+    """json, xml, csv, log or binary by ordered rules, null where none fits. s: text, or the bytes raw decoded as ISO-8859-1."""
     lead = F.regexp_replace(s, r"^[ \t\n\f\r]+", "")
-    code = F.hex(F.encode(F.substring(s, 1, 520), "ISO-8859-1"))
+    code = F.hex(F.substring(F.encode(s, "UTF-8") if raw is None else raw, 1, 520))
     at = lambda i: F.substr(code, i * 2 + 1, F.lit(2))
     pairs = F.size(F.filter(F.sequence(F.lit(0), F.lit(511)), lambda i: (at(i) == "00") & (at(i + 1) < "04") & (at(i + 1) != "")))
     rules = F.when((F.length(lead) == 0) | s.isNull(), None).when(code.startswith("D0CF11E0A1B11AE1"), "binary")
@@ -163,8 +163,9 @@ def backend(entropy: Column, size: Column) -> Column:
 def profile(df: DataFrame, col: str) -> DataFrame:
     """df with size, entropy, ascii_ratio, hint, viability, track and backend of a string or binary column."""
     d = byte_stats(df, col)
-    s = F.col(col) if dict(df.dtypes)[col] == "string" else F.decode(F.col(col), "ISO-8859-1")
-    d = d.withColumn("hint", format_hint(s, F.col("ascii_ratio")))
+    raw = None if dict(df.dtypes)[col] == "string" else F.col(col)
+    s = F.col(col) if raw is None else F.decode(raw, "ISO-8859-1")
+    d = d.withColumn("hint", format_hint(s, F.col("ascii_ratio"), raw))
     score = F.when(F.col("size") > 0, viability(F.col("entropy"), F.col("ascii_ratio"), F.col("hint"))).otherwise(0.0)
     d = d.withColumn("viability", score)
     track = F.when((F.col("size") > 0) & (F.col("viability") >= VIABLE), 1).otherwise(2)

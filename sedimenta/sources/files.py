@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None, max_bytes: int | None = None, allow: list[str] | None = None, deny: list[str] | None = None, skip: str | None = None) -> DataFrame:
-    """path, name, ext, rel_dir, length, modificationTime, content. Size bounds reach the source; deny and skip (a substring of the path) prune rows before content is used."""
+    """path, name, ext, rel_dir, length, modificationTime, content. Size bounds reach the source; deny and skip (a substring of the path) prune rows before content is used. Spark's file scans pass over files of no bytes."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         r = r.option("pathGlobFilter", glob)

@@ -32,7 +32,9 @@ def frozen_dictionary(stream: DataFrame, col: str, target: str, checkpoint: str,
 
     def handle(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
+        batch = batch.persist()  # the source is read once a batch
         if batch.isEmpty():
+            batch.unpersist()
             return
         path = f"{target}/_dictionary"
         try:
@@ -42,6 +44,7 @@ def frozen_dictionary(stream: DataFrame, col: str, target: str, checkpoint: str,
             tokens = spark.read.parquet(path)
         coded = encode_tokens(batch, col, tokens).withColumn("rest", F.when(F.col("idx").isNull(), F.col(col))).drop(col)
         coded.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/data/batch={number}")
+        batch.unpersist()
 
     return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
