@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import ensure_file, small_batches, table, text_or_empty
 
-LONG, KEEP, STEP = 64, 300_000, 20_000
+LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 20_000, 4 << 20, 200_000
 #: White space as Unicode has it, and as the library's \s does; Python's adds U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -56,6 +56,19 @@ from (select *, max(turn) over (partition by key >> 8) as last from step) where
 """
 
 
+class Pieces(dict):
+    """Numbers of pieces in the order of their first sight; the new ones wait in a list."""
+
+    def __init__(self, names=()):
+        super().__init__(zip(names, range(len(names))))
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Codec:
     """Ranks in DuckDB tables, and the pieces that this worker has encoded."""
 
@@ -65,7 +78,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = compiled(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "512MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         at = self.ranks.get
         # every split of a token into two tokens; equal bytes have equal ranks, whatever their parts
         merges = [(x, y, k) for t, k in self.ranks.items() for i in range(1, len(t)) if (x := at(t[:i])) is not None and (y := at(t[i:])) is not None]
@@ -77,7 +90,7 @@ class Codec:
         self.con.execute("create table merges as from m")
         self.con.execute("create table vocabulary as from v")
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.known: dict[str, int] = {}
+        self.known = Pieces()
         self.tokens, self.ends, self.used = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
 
     def forget(self) -> None:
@@ -88,7 +101,7 @@ class Codec:
         self.tokens = self.tokens[np.arange(stop[-1]) - np.repeat(stop - sizes - self.ends[keep], sizes)]
         self.ends, self.used = np.append(0, stop), self.used[keep]
         names = list(self.known)
-        self.known = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.known = Pieces([names[i] for i in keep.tolist()])
 
     def _queue(self, piece: bytes) -> list[int]:
         """The same contraction for a long piece: a queue of (rank, position) and links between tokens."""
@@ -111,55 +124,80 @@ class Codec:
                 heapq.heappush(queue, (r, h, end[i] - h))
         return [self.ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
-    def _contract(self, pieces: list[bytes]) -> list[np.ndarray]:
-        sizes = np.array([len(p) for p in pieces])
+    def _contract(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All tokens of pieces, and how many each has."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         start = pa.table({"piece": pa.array(np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)), "pos": pa.array((np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)), "token": pa.array(self.byte[np.frombuffer(b"".join(pieces), np.uint8)])})
         self.con.register("start", start)
         found = self.con.execute(_ENCODE).fetchnumpy()
         self.con.unregister("start")
-        return np.split(np.asarray(found["token"], np.int32), np.flatnonzero(np.diff(np.asarray(found["piece"]))) + 1)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces."""
-        coded = [p.encode() for p in pieces]
-        out: list = [None] * len(pieces)
-        rest = []
-        for i, p in enumerate(coded):
-            if (r := self.ranks.get(p)) is not None:
-                out[i] = np.array([r], np.int32)
-            elif len(p) > LONG:
-                out[i] = np.array(self._queue(p), np.int32)
-            else:
+        return np.asarray(found["token"], np.int32), np.bincount(np.asarray(found["piece"]), minlength=len(pieces))
+
+    def learn(self) -> None:
+        """Encodes the pieces that wait, in the order of their numbers."""
+        pieces, self.known.new = self.known.new, []
+        at = self.ranks.get
+        tokens: list[np.ndarray] = []
+        sizes = np.ones(len(pieces), np.int64)
+        lone, rest, coded = [], [], []
+        place: list[int] = []
+        for i, p in enumerate(pieces):
+            data = p.encode()
+            if (r := at(data)) is not None:
+                lone.append(r)
+                place.append(i)
+            elif len(data) <= LONG:
                 rest.append(i)
+                coded.append(data)
+        tokens.append(np.array(lone, np.int32))
+        done = set(place) | set(rest)
+        for i in (i for i in range(len(pieces)) if i not in done):
+            tokens.append(np.array(self._queue(pieces[i].encode()), np.int32))
+            sizes[i] = len(tokens[-1])
+            place.append(i)
         for k in range(0, len(rest), STEP):
-            part = rest[k : k + STEP]
-            for i, t in zip(part, self._contract([coded[i] for i in part])):
-                out[i] = t
-        base = len(self.known)
-        self.known |= {p: base + i for i, p in enumerate(pieces)}
-        self.tokens = np.concatenate([self.tokens, *out])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(t) for t in out])])
-        self.used = np.append(self.used, np.zeros(len(out), np.int64))
+            t, n = self._contract(coded[k : k + STEP])
+            tokens.append(t)
+            sizes[rest[k : k + STEP]] = n
+        order = np.array(place + rest, np.int64)
+        flat, n = np.concatenate(tokens), sizes[order]
+        # from the order of work to that of numbers
+        start = np.empty(len(order), np.int64)
+        start[order] = np.cumsum(n) - n
+        stop = np.cumsum(sizes)
+        self.tokens = np.append(self.tokens, flat[np.arange(len(flat)) - np.repeat(stop - sizes - start, sizes)])
+        self.ends = np.append(self.ends, self.ends[-1] + stop)
+        self.used = np.append(self.used, np.zeros(len(sizes), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's end."""
         if len(self.known) > KEEP:
             self.forget()
-        split = [self.split(t) for t in texts]
-        known = self.known
-        new = {p for s in split for p in s if p not in known}
-        if new:
-            self.learn(sorted(new))
-        which = np.array([known[p] for s in split for p in s], np.int64)
+        number = self.known.__getitem__
+        parts = []
+        for t in texts:  # strings of pieces live for one text only
+            found = self.split(t)
+            parts.append(np.fromiter(map(number, found), np.int32, len(found)))
+        if self.known.new:
+            self.learn()
+        which = np.concatenate([np.empty(0, np.int32), *parts])
         self.used += np.bincount(which, minlength=len(self.used))
         size = self.ends[which + 1] - self.ends[which]
         stop = np.cumsum(size)
         ids = self.tokens[np.arange(stop[-1] if len(stop) else 0) - np.repeat(stop - size - self.ends[which], size)]
-        pieces = np.cumsum([len(s) for s in split])
-        return ids, np.append(0, stop)[pieces]
+        return ids, np.append(0, stop)[np.cumsum([len(p) for p in parts])]
 
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
-        """The bytes of each run of ids. Raises KeyError for an unknown id."""
+        """The bytes of each run of ids, some DECODE ids (or one run) at a time. Raises KeyError for an unknown id."""
+        out, i = [], 0
+        while i < len(ends):
+            low = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, low + DECODE, "right")))
+            out += self._decode(ids[low : int(ends[j - 1])], ends[i:j] - low)
+            i = j
+        return out
+
+    def _decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         sizes = np.diff(np.append(0, ends))
         rows = pa.table({"doc": pa.array(np.repeat(np.arange(len(ends), dtype=np.int32), sizes)), "pos": pa.array(np.arange(len(ids), dtype=np.int32)), "token": pa.array(ids.astype(np.int32))})
         self.con.register("ids", rows)
@@ -194,7 +232,7 @@ def public_vocabulary() -> tuple[str, str]:
     return ensure_file(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
-def _slices(batch: pa.RecordBatch, most: int = 4 << 20):
+def _slices(batch: pa.RecordBatch, most: int = SLICE):
     """Parts of a batch with about most characters each."""
     sizes = [len(t) for t in batch.column("text").to_pylist()]
     at = held = 0
