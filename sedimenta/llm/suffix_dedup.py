@@ -413,3 +413,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op1_suffix_dedup(spark, sf_dir) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+#: Every window by its digest, every byte by the windows that cover it.
+ORACLE_SQL = """
+with t as (select row_number() over (order by doc_id nulls last, text) as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select r, unnest(regexp_extract_all(h, '..')) as x, unnest(range(0, length(h) // 2)) as k from t),
+w as (select r, unnest(range(0, length(h) // 2 - 99)) as k, unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: md5(substr(h, 2 * i + 1, 200)))) as win from t where length(h) >= 200),
+f as (select r, k, row_number() over (partition by win order by r, k) > 1 as dup from w),
+m as (select b.r, b.k, b.x, coalesce(bool_or(dup) over (partition by b.r order by b.k rows between 99 preceding and current row), false) as gone from b left join f on b.r = f.r and b.k = f.k),
+s as (select *, gone and not coalesce(lag(gone) over (partition by r order by k), false) as new from m),
+g as (select r, count(*) as n, count(*) filter (gone) as gone, count(*) filter (new) as spans, coalesce(string_agg(x, '' order by k) filter (not gone), '') as kept from s group by r)
+select doc_id, coalesce(n, 0)::bigint as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from t left join g on t.r = g.r
+"""
