@@ -63,9 +63,9 @@ def parse_int(df: DataFrame, col: str, out: str = "parsed") -> DataFrame:
 
 
 def dictionary(df: DataFrame, col: str) -> DataFrame:
-    """token, n, idx: distinct values by count, then value. The numbering is over distinct values only."""
+    """token, n, idx: distinct values by count, then value. They are numbered by ranges, so any number of them is no task's burden."""
     counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("token")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("idx", F.row_number().over(W.orderBy(F.col("n").desc(), F.col("token"))) - 1)
+    return indexed(counts.withColumn("_less", -F.col("n")), ["_less", "token"], "idx").select("token", "n", "idx")
 
 
 def encode_tokens(df: DataFrame, col: str, tokens: DataFrame) -> DataFrame:
