@@ -24,7 +24,7 @@ from pyspark.sql.window import Window as W
 from .common import fresh, materialize, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, RATIO, CAP, SEED = (5, 2, 1), 1.5, 2, "17"
+WEIGHTS, RATIO, CAP, SEED, SALTS = (5, 2, 1), 1.5, 2, "17", 64
 
 
 def _key(id_col: str, text_col: str, seed: str) -> Column:
@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: int = CAP,
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap: int = CAP, seed: str = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs' rows, repeated as the mix takes them; a document that it takes in part stays whole.
 
-    Texts are not shuffled: only each source's repetitions and last digest (one row a source) are joined.
+    Only each source's repetitions and last digest (one row a source) are joined to the texts.
     """
     base = materialize(_base(docs, id_col, text_col, source_col, seed), "mix-base")
     plan = materialize(_plan(base, weights, ratio, cap), "mix-plan")
@@ -93,12 +93,14 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, ratio: float = RATIO, cap:
     start = F.col("before") + F.sum("d.size").over(order) - F.col("d.size")
     last = d.select(F.col("d.source").alias("source"), F.col("d.key").alias("key"), (start < F.col("left")).alias("taken")).filter("taken").groupBy("source").agg(F.max("key").alias("last_key"))
     whole = plan.groupBy("source").agg(F.max("whole").alias("whole")).alias("w")
-    per = whole.join(last.alias("l"), F.col("w.source").eqNullSafe(F.col("l.source")), "left").select("w.source", "whole", "last_key")
-    s, n, k, c = fresh(docs, "mix_source", "mix_whole", "mix_last", "mix_copy")
-    per = per.toDF(s, n, k)
+    per = materialize(whole.join(last.alias("l"), F.col("w.source").eqNullSafe(F.col("l.source")), "left").select("w.source", "whole", "last_key"), "mix-sources")
+    # written, so that its size is known: Spark broadcasts it if it is small; else the salt splits hot sources
+    s, n, k, c, salt, salted = fresh(docs, "mix_source", "mix_whole", "mix_last", "mix_copy", "mix_salt", "mix_salted")
+    per = per.toDF(s, n, k).withColumn(salted, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     copies = F.col(n) + F.when(_key(id_col, text_col, seed) <= F.col(k), 1).otherwise(0)
-    out = docs.join(per, F.col(source_col).eqNullSafe(F.col(s)))
-    return out.withColumn(c, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(s, n, k, c)
+    some = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(SALTS))
+    out = docs.withColumn(salt, some).join(per, F.col(source_col).eqNullSafe(F.col(s)) & (F.col(salt) == F.col(salted)))
+    return out.withColumn(c, F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(s, n, k, c, salt, salted)
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:

@@ -112,7 +112,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """docs' rows that are kept. Texts are read again rather than shuffled where few documents go."""
+    """docs' rows that are kept: those that go are joined away by id, digest and host, of which no value is hot."""
     verdicts = judge(docs, id_col, text_col, host_col)
     i, h, s = fresh(docs, "quality_id", "quality_hash", "quality_host")
     bad = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias(i), F.col("hash").alias(h), F.col("host").alias(s)).distinct()
