@@ -82,7 +82,7 @@ def log_hint(s: Column) -> Column:
 
 def format_hint(s: Column, ascii_ratio: Column | None = None, raw: Column | None = None) -> Column:
     """json, xml, csv, log or binary by ordered rules, null where none fits. s: text, or the bytes raw decoded as ISO-8859-1."""
-    lead = F.regexp_replace(s, r"^[ \t\n\f\r]+", "")
+    lead = F.substring(F.ltrim(s, F.lit(" \t\n\f\r")), 1, 64)
     code = F.hex(F.substring(F.encode(s, "UTF-8") if raw is None else raw, 1, 520))
     at = lambda i: F.substr(code, i * 2 + 1, F.lit(2))
     pairs = F.size(F.filter(F.sequence(F.lit(0), F.lit(511)), lambda i: (at(i) == "00") & (at(i + 1) < "04") & (at(i + 1) != "")))
@@ -132,7 +132,7 @@ def log_sniff(s: Column) -> Column:
 
 def handler_hint(s: Column) -> Column:
     """The second, typed-handler detection: JSON, XML, YAML, log, CSV, else binary."""
-    lead = F.regexp_replace(s, r"^[ \t\n\f\r]+", "")
+    lead = F.substring(F.ltrim(s, F.lit(" \t\n\f\r")), 1, 64)
     head = F.substring(s, 1, 200)
     xml = head.contains("<?xml") | head.contains("<root") | head.contains("xmlns")
     return (
