@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 from .blobs import TRANSFORMS
 from .constraints import analyse
 from .profile import profile
+from .sequence import BUCKET, POS, indexed
 
 LEVELS = ("fast", "default", "high", "best", "max")
 #: codec -> level of each of LEVELS
@@ -207,15 +208,61 @@ def smart_choice(candidates: DataFrame, id_col: str) -> DataFrame:
     return c.groupBy(id_col).agg(F.min_by("transform", F.struct("quick_size", "transform")).alias("transform"), F.min("quick_size").alias("quick_size"))
 
 
+def _move(bps: Column, target: float, gain: float) -> Column:
+    return F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (bps - target) / target * gain)).cast("int")
+
+
 def bandwidth_levels(blocks: DataFrame, stream_col: str, order_col: str, bps_col: str, target: float, gain: float = 2.0, lo: int = 1, hi: int = 12) -> DataFrame:
-    """stream_col, levels: the level after each block of a feedback controller that starts at the midpoint."""
+    """stream_col, levels: the level after each block of a feedback controller that starts at the midpoint. For streams that fit a row; bandwidth_steps() takes any."""
     start = F.lit((lo + hi) // 2)
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(bps_col).cast("double").alias("b"))))
 
     def step(acc, x):
-        move = F.greatest(F.lit(-3.0), F.least(F.lit(3.0), (x["b"] - target) / target * gain)).cast("int")
-        level = F.greatest(F.lit(lo), F.least(F.lit(hi), F.element_at(acc, -1) + move))
+        level = F.greatest(F.lit(lo), F.least(F.lit(hi), F.element_at(acc, -1) + _move(x["b"], target, gain)))
         return F.concat(acc, F.array(level))
 
     g = blocks.groupBy(stream_col).agg(ordered.alias("_b"))
     return g.select(stream_col, F.slice(F.aggregate("_b", F.array(start), step), 2, 1 << 30).alias("levels"))
+
+
+def bandwidth_steps(blocks: DataFrame, stream_col: str, order_col: str, bps_col: str, target: float, gain: float = 2.0, lo: int = 1, hi: int = 12, bucket: int = BUCKET) -> DataFrame:
+    """stream_col, k (from 1), level: bandwidth_levels() of streams of any length, a row a block.
+
+    A bucket of rows moves every level x to max(low, min(high, x + add)), whatever came before: these three numbers a stream
+    and bucket are carried along the stream, then each bucket is folded from the level that it starts with."""
+    x = blocks.select(F.col(stream_col).alias("_stream"), F.col(order_col).alias("_o"), F.col(bps_col).cast("double").alias("_bps"))
+    x = indexed(x, ["_stream", "_o", "_bps"]).select("_stream", POS, F.floor(F.col(POS) / bucket).cast("long").alias("_bucket"), _move(F.col("_bps"), target, gain).alias("_m"))
+    kind = x.schema["_stream"].dataType.simpleString()
+
+    def ends(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(POS)
+        out: dict = {}
+        for s, p, m in zip(*(rows.column(c).to_pylist() for c in ("_stream", POS, "_m"))):
+            first, add, low, high = out.get(s) or (p, 0, lo, hi)
+            out[s] = first, add + m, max(lo, min(hi, low + m)), max(lo, min(hi, high + m))
+        cols = [list(c) for c in zip(*out.values())]
+        return pa.table([pa.array(list(out), rows.schema.field("_stream").type), pa.array([rows.column("_bucket")[0].as_py()] * len(out), pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], names=["_stream", "_bucket", "_first", "_add", "_low", "_high"])
+
+    def fold(rows: pa.Table, starts: pa.Table) -> pa.Table:
+        rows = rows.sort_by(POS)
+        at = {s: (level, first) for s, level, first in zip(*(starts.column(c).to_pylist() for c in ("_stream", "_level", "_first")))}
+        ks, levels = [], []
+        for s, p, m in zip(*(rows.column(c).to_pylist() for c in ("_stream", POS, "_m"))):
+            level, first = at[s]
+            level = max(lo, min(hi, level + m))
+            at[s] = level, first
+            ks.append(p - first + 1)
+            levels.append(level)
+        return pa.table([rows.column("_stream"), pa.array(ks, pa.int64()), pa.array(levels, pa.int32())], names=[stream_col, "k", "level"])
+
+    e = x.groupBy("_bucket").applyInArrow(ends, f"_stream {kind}, _bucket long, _first long, _add long, _low long, _high long")
+    e = e.groupBy("_stream").agg(F.min("_first").alias("_first"), F.array_sort(F.collect_list(F.struct("_bucket", "_add", "_low", "_high"))).alias("_e"))  # one a bucket
+
+    def carry(acc, b):
+        level = F.greatest(b["_low"], F.least(b["_high"], acc["level"] + b["_add"]))
+        return F.struct(level.alias("level"), F.concat(acc["starts"], F.array(F.struct(b["_bucket"].alias("_bucket"), acc["level"].alias("_level")))).alias("starts"))
+
+    none = F.expr("cast(array() as array<struct<_bucket: bigint, _level: bigint>>)")
+    starts = F.aggregate("_e", F.struct(F.lit((lo + hi) // 2).cast("long").alias("level"), none.alias("starts")), carry, lambda acc: acc["starts"])
+    e = e.select("_stream", "_first", F.inline(starts))
+    return x.groupBy("_bucket").cogroup(e.groupBy("_bucket")).applyInArrow(fold, f"{stream_col} {kind}, k long, level int")

@@ -585,12 +585,8 @@ def bench_summary(spark, d):
 
 @query("with recursive b as (select o_orderpriority as stream, row_number() over (partition by o_orderpriority order by o_orderkey) as k, (o_custkey % 200)::double as bps from orders), s as (select stream, 0::bigint as k, 6 as level from b group by stream union all select s.stream, s.k + 1, greatest(1, least(12, level + trunc(greatest(-3, least(3, (bps - 100) / 100 * 2)))::int)) from s join b on b.stream = s.stream and b.k = s.k + 1 where s.k < 200) select stream, k, level from s where k > 0")
 def bandwidth_levels_orders(spark, d):
-    from pyspark.sql.window import Window as W
-
-    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("stream"), F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 200).alias("bps"))
-    first = o.withColumn("r", F.row_number().over(W.partitionBy("stream").orderBy("k"))).filter("r <= 200")
-    x = routing.bandwidth_levels(first, "stream", "k", "bps", 100.0)
-    return x.select("stream", F.posexplode("levels").alias("k", "level")).select("stream", (F.col("k") + 1).cast("long").alias("k"), "level")
+    o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("stream"), "o_orderkey", (F.col("o_custkey") % 200).alias("bps"))
+    return routing.bandwidth_steps(o, "stream", "o_orderkey", "bps", 100.0)
 
 
 @query()
