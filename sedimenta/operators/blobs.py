@@ -68,7 +68,12 @@ def rle(data: bytes) -> bytes:
     if not len(a):
         return b""
     at = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-    return b"".join(bytes([a[i]]) + varint(n) for i, n in zip(at.tolist(), np.diff(np.append(at, len(a))).tolist()))
+    n = np.diff(np.append(at, len(a)))
+    pairs, out, done = np.stack([a[at], n.astype(np.uint8)], axis=1), [], 0
+    for i in np.flatnonzero(n >= 128).tolist():  # lengths of more than one byte
+        out += [pairs[done:i].tobytes(), bytes([a[at[i]]]), varint(int(n[i]))]
+        done = i + 1
+    return b"".join([*out, pairs[done:].tobytes()])
 
 
 def unrle(data: bytes) -> bytes:
@@ -257,14 +262,19 @@ def _context2(data: bytes) -> tuple[bytes, dict[int, int]]:
     a = _arr(data)
     before = (np.concatenate([[0, 0], a])[: len(a)].astype(np.int64) << 8) | np.concatenate([[0], a])[: len(a)]
     table = _guess(before, a)
-    guess = np.array([table[c] for c in before.tolist()], np.uint8)
+    best = np.zeros(1 << 16, np.uint8)
+    best[list(table)] = list(table.values())
+    guess = best[before]
     return (a - guess).astype(np.uint8).tobytes(), table
 
 
 def residuals(data: bytes) -> dict[str, bytes]:
     a = _arr(data)
-    second = np.concatenate([[0, 0], a])[: len(a)].astype(np.uint8)
-    return {"delta1": delta_bytes(data), "delta2": (a - second).astype(np.uint8).tobytes(), "context2": _context2(data)[0]}
+    return {"delta1": delta_bytes(data), "delta2": _delta2(a), "context2": _context2(data)[0]}
+
+
+def _delta2(a: np.ndarray) -> bytes:
+    return (a - np.concatenate([[0, 0], a])[: len(a)].astype(np.uint8)).astype(np.uint8).tobytes()
 
 
 def predict(data: bytes) -> bytes:
@@ -275,7 +285,7 @@ def predict(data: bytes) -> bytes:
     if name == "context2":
         rest, table = _context2(data)
         return b"\2" + _frame([b"".join(struct.pack("<HB", c, b) for c, b in sorted(table.items())), rest])
-    return bytes([names.index(name)]) + residuals(data)[name]
+    return bytes([names.index(name)]) + (delta_bytes(data) if name == "delta1" else _delta2(_arr(data)))
 
 
 def unpredict(data: bytes) -> bytes:
@@ -464,8 +474,8 @@ def normalize(data: bytes) -> tuple[bytes, list[tuple[int, bytes]]]:
             at = b
         return bytes(out + data[at:]), diffs
 
-    spots, quoted, escaped, i = [], False, False, 0
-    while i < len(data):
+    json, spots, quoted, escaped, i = data.lstrip()[:1] in (b"{", b"["), [], False, False, 0
+    while json and i < len(data):
         b = data[i]
         if quoted:
             escaped, quoted = (b == 92 and not escaped), not (b == 34 and not escaped)
@@ -489,7 +499,7 @@ def normalize(data: bytes) -> tuple[bytes, list[tuple[int, bytes]]]:
             spots.append((i + 1, j))
         i = data.find(b">", i + 1)
     xml_like = cut(spots)
-    return json_like if len(json_like[0]) < len(xml_like[0]) and data.lstrip()[:1] in (b"{", b"[") else xml_like
+    return json_like if json and len(json_like[0]) < len(xml_like[0]) else xml_like
 
 
 def denormalize(data: bytes, diffs: list[tuple[int, bytes]]) -> bytes:

@@ -329,8 +329,8 @@ def transpose_embeddings(spark, d):
     return e.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x").cast("double"), 6).alias("lo"), F.round(F.max("x").cast("double"), 6).alias("hi"))
 
 
-def _round_trips(spark, d, names, table="benchmark", key="item_id", col="text"):
-    x = t(spark, d, table).select(key, F.encode(F.col(col), "UTF-8").alias("data"))
+def _round_trips(rows, names, key, col="text"):
+    x = rows.select(key, F.encode(F.col(col), "UTF-8").alias("data"))
     out = None
     for n in names:
         y = blobs.apply(blobs.apply(x, "data", n), "encoded", n, True, "back")
@@ -341,17 +341,18 @@ def _round_trips(spark, d, names, table="benchmark", key="item_id", col="text"):
 
 @query()
 def bwt_labels_text(spark, d):
-    return _round_trips(spark, d, ["bwt_chain", "conditioned_bwt", "mtf"])
+    labelled = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left_semi")
+    return _round_trips(labelled, ["bwt_chain", "conditioned_bwt", "mtf"], "doc_id")
 
 
 @query()
 def byte_transforms_benchmark(spark, d):
-    return _round_trips(spark, d, ["delta", "transpose", "byte_plane", "rle", "condition", "context_split", "predict", "const_elim", "stride_elim", "field_lz", "rolz", "float_split", "normalize"])
+    return _round_trips(t(spark, d, "benchmark"), ["delta", "transpose", "byte_plane", "rle", "condition", "context_split", "predict", "const_elim", "stride_elim", "field_lz", "rolz", "float_split", "normalize"], "item_id")
 
 
 @query("select key as item_id, 'rle' as transform, true as exact from (select item_id as key from benchmark)")
 def rle_round_trip_benchmark(spark, d):
-    return _round_trips(spark, d, ["rle"]).select("item_id", "transform", "exact")
+    return _round_trips(t(spark, d, "benchmark"), ["rle"], "item_id").select("item_id", "transform", "exact")
 
 
 # --- handlers and domains --------------------------------------------------------------------------------------
@@ -529,7 +530,7 @@ def codec_sizes_documents(spark, d):
 
 @query()
 def trial_matrix_documents(spark, d):
-    return routing.best_trial(routing.trials(t(spark, d, "benchmark"), "item_id", "text"), "item_id")
+    return routing.best_trial(routing.trials(t(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 #: Trial rows derived from lineitem, for the relational part of the lab.

@@ -39,3 +39,16 @@ def test_bandwidth_levels_orders_whole(spark):
     assert got == {(s, i + 1): v for s, b in streams for i, v in enumerate(fold(b))}
     sql = con.sql(catalogue.oracle_sql()["bandwidth_levels_orders"]).fetchall()
     assert {(s, k): v for s, k, v in sql} == {x: v for x, v in got.items() if x[1] <= 200}
+
+
+def test_trials_and_round_trips_take_documents(spark):
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.sql(f"create view {table} as from '{SF}/{table}.parquet'")
+    best = catalogue.queries()["trial_matrix_documents"](spark, SF)
+    ids = {x for (x,) in con.sql("select doc_id from documents").fetchall()}
+    assert {r.doc_id for r in best.collect()} == ids
+    trips = catalogue.queries()["bwt_labels_text"](spark, SF).collect()
+    labelled = {x for (x,) in con.sql("select doc_id from documents where doc_id in (select doc_id from labels)").fetchall()}
+    assert sorted((r.doc_id, r.transform) for r in trips) == sorted((i, n) for i in labelled for n in ("bwt_chain", "conditioned_bwt", "mtf"))
+    assert all(r.exact for r in trips)
