@@ -29,6 +29,7 @@ from .common import materialize, small_batches, table, text_or_empty
 from .quality_rules import features
 
 TRAIN, KEEP, RIDGE = 20_000, 0.995, 1e-2
+WINDOW = 400
 NAMES = ("log_words", "word_length", "symbols", "dup_lines", "repeats", "line_words", "capitals", "digits", "marks", "exclaims", "plain", "stops", "unique")
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 1, 2, 3
@@ -41,13 +42,18 @@ for _c in b" \t\n\x0b\x0c\r":
 _CLASS[128:] = 7
 
 
+def _distinct(words: list[bytes]) -> float:
+    """The share of distinct words in windows of WINDOW words, each weighted by its words: the whole text counts, and length alone changes little."""
+    return sum(len(set(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)) / max(1, len(words))
+
+
 def evidence_features(text: str) -> list[float]:
     n, chars, symbols, lines, dup, repeat = features(text)
     data = text.encode()
     c = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=8)
     total, seen = max(1, len(data)), max(1, len(data) - int(c[6]))
     words = data.split()
-    return [np.log1p(n), min(30.0, chars / max(1, n)), symbols / max(1, n), dup / max(1, lines), repeat / max(1, n), np.log1p(n / max(1, lines)), c[1] / seen, c[3] / seen, c[5] / seen, c[4] / seen, (c[1] + c[2] + c[7]) / seen, sum(w.endswith(b".") for w in words) / max(1, n), len(set(words)) / max(1, n) if n < 400 else len(set(words[:400])) / 400]
+    return [np.log1p(n), min(30.0, chars / max(1, n)), symbols / max(1, n), dup / max(1, lines), repeat / max(1, n), np.log1p(n / max(1, lines)), c[1] / seen, c[3] / seen, c[5] / seen, c[4] / seen, (c[1] + c[2] + c[7]) / seen, sum(w.endswith(b".") for w in words) / max(1, n), _distinct(words)]
 
 
 def _measure(batches):

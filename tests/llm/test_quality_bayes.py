@@ -82,3 +82,13 @@ def test_fit_and_features():
     w = fit(x, y, 1e-6)["weights"]
     assert w[0] == pytest.approx(2, abs=0.3) and w[1] == pytest.approx(-1, abs=0.2) and abs(w[2]) < 0.2
     assert len(evidence_features("")) == len(evidence_features("A b!")) == len(NAMES)
+
+
+def test_distinct_words_of_the_whole_text():
+    at = NAMES.index("unique")
+    start = [f"w{i}" for i in range(400)]
+    whole = lambda words: evidence_features(" ".join(words))[at]
+    assert whole(start) == 1 and whole(start + ["x"] * 400) == pytest.approx(401 / 800)
+    assert whole(start + [f"v{i}" for i in range(450)]) == 1
+    assert whole(start + ["x", "x", "y", "x"]) == pytest.approx(402 / 404)
+    assert whole(["a", "b", "a"]) == pytest.approx(2 / 3) and whole([]) == 0
