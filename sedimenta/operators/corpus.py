@@ -67,6 +67,28 @@ def divergence(freq: DataFrame, key: str) -> DataFrame:
     return pairs.select("a", "b", F.aggregate(terms, F.lit(0.0), lambda s, x: s + x).alias("jsd"))
 
 
+def deviation(df: DataFrame, id_col: str, col: str) -> DataFrame:
+    """id_col, jsd: the divergence of every object's byte histogram from that of all objects together. Linear in the bytes; empty objects have no histogram and no row."""
+    whole = np.zeros(256)
+    for r in byte_counts(df.select(F.lit(1).alias("_k"), col), "_k", col).select("byte", "n").collect():  # 256 rows at most
+        whole[r["byte"]] = r["n"]
+    q = whole / max(1.0, whole.sum())
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def one(data: bytes) -> float:
+        p = np.bincount(np.frombuffer(data, np.uint8), minlength=256) / len(data)
+        m = (p + q) / 2
+        kl = lambda x: float(np.sum(x[x > 0] * np.log2(x[x > 0] / m[x > 0])))
+        return (kl(p) + kl(q)) / 2
+
+    def run(batches):
+        for batch in batches:
+            cells = batch.column(1).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([one(x) if x else None for x in cells], pa.float64())], names=[id_col, "jsd"])
+
+    return df.select(id_col, col).mapInArrow(run, f"{id_col} {kind}, jsd double").filter("jsd is not null")
+
+
 def pair_sample(df: DataFrame, id_col: str, most: int = 100) -> DataFrame:
     """The `most` objects of the least hash: all pairs of them are bounded."""
     return df.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(most)
@@ -78,9 +100,9 @@ def clusters(profiles: DataFrame, key: str) -> DataFrame:
     return profiles.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(e).alias("entropy_min"), F.max(e).alias("entropy_max"), F.avg(e).alias("entropy_mean"), F.coalesce(F.stddev_samp(e), F.lit(0.0)).alias("entropy_stdev"))
 
 
-def homogeneity(pairs: DataFrame, tracks: Column | int) -> DataFrame:
-    """similarity (1 - mean divergence) and verdict: high, dictionary or per_file."""
-    r = pairs.agg(F.greatest(F.lit(0.0), 1 - F.coalesce(F.avg("jsd"), F.lit(0.0))).alias("similarity"), F.min("jsd").alias("jsd_min"), F.max("jsd").alias("jsd_max"))
+def homogeneity(pairs: DataFrame, tracks: Column | int, *more: Column) -> DataFrame:
+    """similarity (1 - mean divergence) and verdict: high, dictionary or per_file. more: other aggregates of the pairs."""
+    r = pairs.agg(*more, F.greatest(F.lit(0.0), 1 - F.coalesce(F.avg("jsd"), F.lit(0.0))).alias("similarity"), F.min("jsd").alias("jsd_min"), F.max("jsd").alias("jsd_max"))
     n = F.lit(tracks) if isinstance(tracks, int) else tracks
     return r.withColumn("verdict", F.when((F.col("similarity") > 0.8) & (n <= 2), "high").when(F.col("similarity") > 0.5, "dictionary").otherwise("per_file"))
 

@@ -476,6 +476,15 @@ def homogeneity_documents(spark, d):
     return corpus.homogeneity(pairs, 1).select(*r6("similarity", "jsd_min", "jsd_max"), "verdict")
 
 
+@query(f"{_PROFILE}, w as (select byte, sum(n) / sum(sum(n)) over ()::double as q from b group by byte), x as (select doc_id, n / size::double as p, q from b join p using (doc_id) join w using (byte)), j as (select doc_id, (sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) + 1 - sum(q)) / 2 as jsd from x group by doc_id), h as (select p.*, {Q.hint('text')} as hint from p join documents using (doc_id)), v as (select count(distinct case when {Q.VIABILITY} >= 0.3 then 1 else 2 end) as tracks from h), s as (select greatest(0, 1 - avg(jsd)) as similarity, min(jsd) as lo, max(jsd) as hi, count(*) as n from j) select n as documents, tracks, round(similarity, 6) as similarity, round(lo, 6) as jsd_min, round(hi, 6) as jsd_max, case when similarity > 0.8 and tracks <= 2 then 'high' when similarity > 0.5 then 'dictionary' else 'per_file' end as verdict from s, v")
+def homogeneity_each_document(spark, d):
+    x = t(spark, d, "documents").select("doc_id", "text").filter("text <> ''")
+    tracks = profile.profile(x, "text").agg(F.countDistinct("track")).first()[0]
+    j = corpus.deviation(x, "doc_id", "text")
+    n = F.count(F.lit(1)).alias("documents")
+    return corpus.homogeneity(j, tracks, n).select("documents", F.lit(tracks).cast("long").alias("tracks"), *r6("similarity", "jsd_min", "jsd_max"), "verdict")
+
+
 @query(f"{_PROFILE} select source, count(*) as n, round(min(entropy), 6) as entropy_min, round(max(entropy), 6) as entropy_max, round(avg(entropy), 6) as entropy_mean, round(coalesce(stddev_samp(entropy), 0), 6) as entropy_stdev from p join documents using (doc_id) group by source")
 def entropy_clusters_documents(spark, d):
     p = profile.byte_stats(t(spark, d, "documents").select("source", "text"), "text").filter("size > 0")

@@ -4,7 +4,7 @@ import random
 
 import duckdb
 
-from sedimenta.operators import routing
+from sedimenta.operators import corpus, routing
 from sedimenta.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,15 @@ def test_trials_and_round_trips_take_documents(spark):
     labelled = {x for (x,) in con.sql("select doc_id from documents where doc_id in (select doc_id from labels)").fetchall()}
     assert sorted((r.doc_id, r.transform) for r in trips) == sorted((i, n) for i in labelled for n in ("bwt_chain", "conditioned_bwt", "mtf"))
     assert all(r.exact for r in trips)
+
+
+def test_every_document_counts_for_homogeneity(spark):
+    df = spark.createDataFrame([(1, "aabb"), (2, "abab"), (3, "\x01\x02\x03\x04"), (4, ""), (5, None)], "id long, s string")
+    j = {r.id: r.jsd for r in corpus.deviation(df, "id", "s").collect()}
+    assert set(j) == {1, 2, 3} and j[3] > j[1] == j[2] > 0
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{SF}/documents.parquet'")
+    got = catalogue.queries()["homogeneity_each_document"](spark, SF)
+    want = con.sql(catalogue.oracle_sql()["homogeneity_each_document"])
+    assert [tuple(r) for r in got.collect()] == want.fetchall() and got.columns == want.columns
+    assert got.first().documents == con.sql("select count(*) from documents where text <> ''").fetchall()[0][0]
