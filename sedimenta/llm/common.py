@@ -38,6 +38,35 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one computation. On leaving, those of keep() are deleted from the shared folder; result() survives."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        for path in self.paths:
+            remove(self.spark, path)
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        path = scratch(self.spark, what)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, what: str) -> DataFrame:
+        return materialize(df, what)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever file system its address names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def local_path(url: str) -> str:
     """A shared folder's path as the workers' file system sees it."""
     return url[len("file:"):].replace("//", "", 1) if url.startswith("file:") else url
