@@ -42,12 +42,13 @@ class Tables:
     """Written tables of one computation. On leaving, those of keep() are deleted from the shared folder; result() survives."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.sent = spark, [], []
 
     def __enter__(self):
         return self
 
     def __exit__(self, *_):
+        self.forget()
         for path in self.paths:
             remove(self.spark, path)
 
@@ -57,6 +58,16 @@ class Tables:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def send(self, value):
+        """A broadcast that forget() or leaving ends."""
+        self.sent.append(self.spark.sparkContext.broadcast(value))
+        return self.sent[-1]
+
+    def forget(self) -> None:
+        for x in self.sent:
+            x.destroy()
+        self.sent = []
+
     def result(self, df: DataFrame, what: str) -> DataFrame:
         return materialize(df, what)
 
