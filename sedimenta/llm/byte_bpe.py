@@ -7,7 +7,9 @@ Decoding joins (document, position, id) rows with the vocabulary and aggregates
 
 The recursion takes a step for each contraction and a row for each token in it, so it is quadratic in a piece's
 length; pieces over LONG bytes are contracted by the same rule with a queue of pairs instead. Pieces that were
-encoded are kept by worker, at most KEEP of them; a batch of new pieces has at most STEP. Nothing is shuffled.
+encoded are kept by worker, at most KEEP of them. The recursion keeps every turn's rows, some half of the square of a
+piece's bytes, so a batch of new pieces is cut where these squares add up to STEP: it fits the memory of DuckDB, which
+may not spill to the worker's disk. Nothing is shuffled.
 
 The rank file is a parameter; the driver checks it and workers read it where it lies. Nulls and edge
 cases: a null text is encoded as empty, with no ids; lone special-token strings are ordinary text; extra columns
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ensure_file, small_batches, table, text_or_empty
 
-LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 20_000, 4 << 20, 200_000
+LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 3 << 20, 4 << 20, 200_000
 #: White space as Unicode has it, and as the library's \s does; Python's adds U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -78,7 +80,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = compiled(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "384MB", "temp_directory": ""})
         at = self.ranks.get
         # every split of a token into two tokens; equal bytes have equal ranks, whatever their parts
         merges = [(x, y, k) for t, k in self.ranks.items() for i in range(1, len(t)) if (x := at(t[:i])) is not None and (y := at(t[i:])) is not None]
@@ -155,10 +157,12 @@ class Codec:
             tokens.append(np.array(self._queue(pieces[i].encode()), np.int32))
             sizes[i] = len(tokens[-1])
             place.append(i)
-        for k in range(0, len(rest), STEP):
-            t, n = self._contract(coded[k : k + STEP])
+        steps = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded)) ** 2) // STEP
+        cuts = np.append(np.flatnonzero(np.diff(steps, prepend=-1)), len(coded)).tolist()
+        for k, end in zip(cuts, cuts[1:]):
+            t, n = self._contract(coded[k:end])
             tokens.append(t)
-            sizes[rest[k : k + STEP]] = n
+            sizes[rest[k:end]] = n
         order = np.array(place + rest, np.int64)
         flat, n = np.concatenate(tokens), sizes[order]
         # from the order of work to that of numbers

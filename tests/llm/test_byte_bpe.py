@@ -38,6 +38,16 @@ def test_queue_equals_recursion():
     assert [c._queue(p) for p in pieces] == [t.tolist() for t in np.split(tokens, np.cumsum(sizes)[:-1])]
 
 
+def test_unspaced_text_does_not_spill(tmp_path, monkeypatch, library):
+    """Thousands of pieces of just under LONG bytes: batches are cut by the rows that the recursion keeps."""
+    monkeypatch.chdir(tmp_path)
+    r = random.Random(3)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(21)) for _ in range(6000)]
+    ids, _ = byte_bpe.Codec(*byte_bpe.public_vocabulary()).encode(texts)
+    assert ids.tolist() == [i for t in texts for i in library.encode_ordinary(t)]
+    assert not list(tmp_path.iterdir())
+
+
 def test_forgetting(monkeypatch, library):
     monkeypatch.setattr(byte_bpe, "KEEP", 40)
     c = byte_bpe.Codec(*byte_bpe.public_vocabulary())
