@@ -266,9 +266,12 @@ def decode_gif(data: bytes, draw: bool = True):
             if cut.size and int(cut.max()) >= len(own) and (clear is None or (cut[cut != clear] >= len(own)).any()):
                 raise ValueError("a sample has no colour")
             area = canvas[top : top + cut.shape[0], left : left + cut.shape[1]]
-            seen = cut != clear if clear is not None else np.ones(cut.shape, bool)
-            area[seen, :3] = own[np.minimum(cut[seen], len(own) - 1)]
-            area[seen, 3] = 255
+            if clear is None:
+                area[..., :3], area[..., 3] = own[cut], 255
+            else:
+                seen = cut != clear
+                area[seen, :3] = own[np.minimum(cut[seen], len(own) - 1)]
+                area[seen, 3] = 255
             shown = canvas.copy()
             if dispose == 2:
                 area[:] = 0
@@ -281,10 +284,10 @@ def decode_gif(data: bytes, draw: bool = True):
 
 
 def histogram(canvas: np.ndarray) -> list[int]:
-    """Counts of visible pixels by luma in BINS bins."""
-    pixels = canvas[canvas[..., 3] > 0].astype(np.uint32)
-    luma = (299 * pixels[:, 0] + 587 * pixels[:, 1] + 114 * pixels[:, 2]) // 1000
-    return np.bincount(luma * BINS // 256, minlength=BINS).tolist()
+    """Counts of visible pixels by red, green and blue, BINS bins each."""
+    shown = canvas[..., 3] > 0
+    every = bool(shown.all())
+    return np.concatenate([np.bincount(((x if every else x[shown]) >> 4).ravel(), minlength=BINS) for x in (canvas[..., c] for c in range(3))]).tolist()
 
 
 _FRAMES = "number int, start_cs long, delay_cs int, width int, height int, visible long, samples binary, colours array<long>, error string"
@@ -317,15 +320,16 @@ _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_
 
 
 def store_and_read(data: bytes) -> tuple:
-    """Stores a text's bytes as a GIF, reads that back and measures it; the grey palette makes a pixel's luma its sample."""
+    """Stores a text's bytes as a GIF, reads the pixels of the drawn frames back and measures them.
+
+    feature: start:delay:histogram of each timed frame, joined by semicolons. The grey palette makes a pixel's red its byte."""
     gif = encode_gif(payload_of(data))
-    read, counts, n = [], np.zeros(BINS, np.int64), 0
-    for f in decode_gif(gif, draw=False):
-        read.append(f.samples)
-        counts += np.bincount(np.frombuffer(f.samples, np.uint8) >> 4, minlength=BINS)
-        n += 1
+    read, shown = [], []
+    for f in decode_gif(gif):
+        read.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+        shown.append(f"{f.start_cs}:{f.delay_cs}:{','.join(map(str, histogram(f.canvas)))}")
     back = b"".join(read)
-    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(gif), hashlib.sha256(gif).hexdigest(), ",".join(map(str, counts)), n
+    return len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ROW:]), len(gif), hashlib.sha256(gif).hexdigest(), ";".join(shown), len(shown)
 
 
 def _store(batches):
