@@ -2,16 +2,18 @@
 
 Rules give spans of kinds assign, access and hex. All other runs of at least CANDIDATE characters of the
 secret alphabet are candidates; each goes, with its surrounding context, through a small convolutional
-network in numpy. It is trained on the driver on labelled findings (labelled_findings(): TRAIN seeded
-examples of credentials and of look-alikes in context), its scores are calibrated on a held-out part, and the
-threshold is the highest that keeps RECALL of the held-out secrets. Candidates over it that overlap no rule's span
-are added as kind model. The weights are a few thousand numbers; the scan itself shuffles nothing.
+network in numpy. The network sees HEAD + TAIL characters at once, so it slides over longer candidates, STEP at a
+time, and over their parts between separators; a candidate's score is its highest. The network is trained on
+the driver on labelled findings (labelled_findings(): TRAIN seeded examples of credentials and of look-alikes in
+context), its scores are calibrated on a held-out part, and the threshold is the highest that keeps RECALL of the held-out
+secrets. Candidates over it are added as kind model unless the rules' spans cover them whole. The weights are a few
+thousand numbers; the scan itself shuffles nothing.
 
 Whole texts are scanned: runs come from one vectorised pass over the bytes, and rules run only where their
 letters occur. Positions are code points.
 
-Nulls and edge cases: a null text counts as empty; a candidate of any length is scored by its ends and its
-context; extra columns are ignored by scan() and kept by redact(); an empty table gives no rows.
+Nulls and edge cases: a null text counts as empty; candidates of any length are scored whole, a bounded number of
+windows at a time; spans of equal start are ordered by kind; repeated rows give equal rows; extra columns are ignored by scan() and kept by redact(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +36,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 KINDS = ("assign", "access", "hex", "model")
 _HINTS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 CANDIDATE, TRAIN, RECALL, SEED = 16, 6000, 0.97, 5
-HEAD, TAIL, LEFT, RIGHT = 32, 16, 24, 8
+HEAD, TAIL, LEFT, RIGHT, STEP, CHUNK = 32, 16, 24, 8, 16, 4096
 WIDTH, EMBED, FILTERS = 5, 10, 24
 _SECRET = np.zeros(256, bool)
 _SECRET[list(b"+/_.=-" + string.ascii_letters.encode() + string.digits.encode())] = True
+_PART = _SECRET.copy()
+_PART[list(b"+/.=")] = False  #: what a part between separators is made of
 _HEX = np.zeros(256, bool)
 _HEX[list(b"0123456789abcdef")] = True
 
@@ -90,7 +94,10 @@ def labelled_findings(n: int = TRAIN, seed: int = SEED) -> list[tuple[str, int,
         return r.choice([w, w, w.capitalize(), w.upper()]) if least > 8 else w
 
     def secret() -> str:
-        k = r.randrange(8)
+        k = r.randrange(9)
+        if k == 8:  # within a path
+            path = lambda: "/".join(word(3) for _ in range(r.randint(1, 6)))
+            return f"{path()}/{pick(mixed, r.randint(24, 48))}/{path()}"
         if k == 0:
             return pick(mixed, r.randint(20, 64))
         if k == 1:
@@ -164,6 +171,30 @@ def _codes(data: bytes, spans: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows(data: bytes, spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans that the network looks at, and the number of the candidate of each: whole short candidates, windows of long ones, and parts between separators."""
+    wide, size = HEAD + TAIL, spans[:, 1] - spans[:, 0]
+    n = np.where(size > wide, -(-(size - wide) // STEP) + 1, 1)
+    owner = np.repeat(np.arange(len(spans)), n)
+    start = spans[owner, 0] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STEP
+    start = np.minimum(start, np.maximum(spans[owner, 1] - wide, spans[owner, 0]))
+    out = np.stack([start, np.minimum(start + wide, spans[owner, 1])], axis=1)
+    parts = runs(np.frombuffer(data, np.uint8), _PART, CANDIDATE)
+    of = np.searchsorted(spans[:, 0], parts[:, 0], "right") - 1
+    inside = (of >= 0) & (parts[:, 1] <= spans[of, 1]) & (parts[:, 1] - parts[:, 0] < size[of]) & (parts[:, 1] - parts[:, 0] <= wide)
+    return np.concatenate([out, parts[inside]]), np.append(owner, of[inside])
+
+
+def candidate_scores(model: dict, data: bytes, spans: np.ndarray) -> np.ndarray:
+    """The highest score of each candidate's windows."""
+    best = np.zeros(len(spans))
+    if len(spans):
+        seen, owner = windows(data, spans)
+        for i in range(0, len(seen), CHUNK):
+            np.maximum.at(best, owner[i : i + CHUNK], score(model, _codes(data, seen[i : i + CHUNK])))
+    return best
+
+
 def _forward(w: dict, codes: np.ndarray):
     x = w["embed"][codes]  # examples x LENGTH x EMBED
     cols = np.lib.stride_tricks.sliding_window_view(x, WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(codes), LENGTH - WIDTH + 1, WIDTH * EMBED)
@@ -229,15 +260,25 @@ def score(model: dict, codes: np.ndarray) -> np.ndarray:
 @lru_cache(maxsize=4)
 def fitted(n: int = TRAIN, recall: float = RECALL, seed: int = SEED) -> dict:
     """Weights, calibration and threshold; the last third of the findings is held out for the latter two."""
-    found = labelled_findings(n, seed)
-    codes = np.concatenate([_codes(t.encode(), np.array([[a, b]])) for t, a, b, _ in found])
+    found = [(t.encode(), len(t[:a].encode()), len(t[:b].encode()), y) for t, a, b, y in labelled_findings(n, seed)]
     y = np.array([x[3] for x in found], np.float32)
     cut = n * 2 // 3
-    model = {"weights": train(codes[:cut], y[:cut]), "slope": 1.0, "offset": 0.0}
-    logit = _forward(model["weights"], codes[cut:])[0]
-    model["slope"], model["offset"] = _platt(logit, y[cut:])
-    p = np.sort(score(model, codes[cut:][y[cut:] == 1]))
-    model["threshold"] = float(min(max(p[int((1 - recall) * len(p))], 0.5), 0.999))
+    # windows of look-alikes are look-alikes; of a secret's, the one that looks most like one to a first network
+    seen = [windows(t, np.array([[a, b]]))[0] for t, a, b, _ in found[:cut]]
+    codes = np.concatenate([_codes(t, w) for (t, *_), w in zip(found, seen)])
+    owner = np.repeat(np.arange(cut), [len(w) for w in seen])
+    whole = np.flatnonzero((y[owner] == 0) | (np.bincount(owner)[owner] == 1))
+    weights = train(codes[whole], y[owner[whole]], epochs=4)
+    z = _forward(weights, codes)[0]
+    top = np.full(cut, -np.inf)
+    np.maximum.at(top, owner, z)
+    kept = np.flatnonzero((y[owner] == 0) | (z >= top[owner]))
+    model = {"weights": train(codes[kept], y[owner[kept]]), "slope": 1.0, "offset": 0.0}
+    p = np.concatenate([candidate_scores(model, t, np.array([[a, b]])) for t, a, b, _ in found[cut:]])
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    model["slope"], model["offset"] = _platt(np.log(p / (1 - p)), y[cut:])
+    p = np.sort(np.concatenate([candidate_scores(model, t, np.array([[a, b]])) for t, a, b, k in found[cut:] if k]))
+    model["threshold"] = float(p[int((1 - recall) * len(p))])
     return model
 
 
@@ -249,9 +290,13 @@ def spans_of(text: str, model: dict | None) -> list[tuple[int, int, int]]:
         buf = np.frombuffer(data, np.uint8)
         candidates = runs(buf, _SECRET, CANDIDATE)
         if len(candidates):
-            p = score(model, _codes(data, candidates))
+            p = candidate_scores(model, data, candidates)
+            rules = sorted((x, y) for x, _, y in found)
             for a, b in _points(buf, candidates[p >= model["threshold"]], len(data) == len(text)).tolist():
-                if not any(x < b and a < y for x, _, y in found):
+                at = a
+                for x, y in rules:  # what the rules leave of it
+                    at = max(at, y) if x <= at else at
+                if at < b:
                     found.append((a, 3, b))
     return sorted(found)
 
