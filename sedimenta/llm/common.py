@@ -78,9 +78,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def local_path(url: str) -> str:
-    """A shared folder's path as the workers' file system sees it."""
-    return url[len("file:"):].replace("//", "", 1) if url.startswith("file:") else url
+def file_system(url: str):
+    """The Arrow file system of a shared folder's address, and the path on it: local, hdfs:, s3a: and whatever else Arrow can open."""
+    from pyarrow import fs
+
+    if "://" not in url and not url.startswith("file:"):
+        return fs.LocalFileSystem(), url
+    if url.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + url[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri("s3" + url[3:] if url.startswith("s3a:") else url)
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

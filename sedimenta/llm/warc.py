@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import os
 import uuid
 import zlib
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_path, scratch, small_batches, table
+from .common import file_system, scratch, small_batches, table
 
 REVISIT_BYTES, ROLL_BYTES, DATE = 1000, 64 << 20, "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,6 +89,7 @@ def _writer(folder: str, roll: int, date: str):
     def run(batches):
         from pyspark import TaskContext
 
+        fs, where = file_system(folder)
         part = TaskContext.get().partitionId()
         done, out, seq = [], None, 0
         heads: dict[str, int] = {}
@@ -98,7 +98,7 @@ def _writer(folder: str, roll: int, date: str):
         def close():
             name = f"part-{part:06d}-{seq:05d}.warc.gz"
             out["f"].close()
-            os.replace(out["tmp"], os.path.join(folder, name))
+            fs.move(out["tmp"], f"{where}/{name}")
             done.append((name, out["n"], out["size"], out["sha"].hexdigest()))
 
         for batch in batches:
@@ -109,9 +109,9 @@ def _writer(folder: str, roll: int, date: str):
                     heads[digest] = head
                     continue
                 if out is None:
-                    os.makedirs(folder, exist_ok=True)
-                    tmp = os.path.join(folder, f".{part:06d}-{seq:05d}.{uuid.uuid4().hex}.tmp")
-                    out = {"f": open(tmp, "wb"), "tmp": tmp, "n": 0, "size": 0, "sha": hashlib.sha256()}
+                    fs.create_dir(where, recursive=True)
+                    tmp = f"{where}/.{part:06d}-{seq:05d}.{uuid.uuid4().hex}.tmp"
+                    out = {"f": fs.open_output_stream(tmp, compression=None), "tmp": tmp, "n": 0, "size": 0, "sha": hashlib.sha256()}
                     info = f"software: sedimenta\r\nformat: WARC File Format 1.1\r\npart: {part}\r\nsequence: {seq}\r\n".encode()
                     data = record("warcinfo", [("WARC-Record-ID", record_id("warcinfo", f"{part}:{seq}")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], info)
                     out["f"].write(data)
@@ -146,8 +146,7 @@ def write_warc(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, date
     rows = rows.union(revisits.select("page_id", F.lit(0), "digest", "head", F.lit(None).cast("string"), F.lit(None).cast("string")))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, "page_id").sortWithinPartitions("page_id", "kind", "digest", "url")
-    local = local_path(folder)
-    manifest = ranged.mapInArrow(_writer(local, roll_bytes, date), "file string, records long, bytes long, sha256 string")
+    manifest = ranged.mapInArrow(_writer(folder, roll_bytes, date), "file string, records long, bytes long, sha256 string")
     manifest.write.parquet(f"{folder}/_manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/_manifest")
 
@@ -159,16 +158,17 @@ def _reader(folder: str):
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches):
+        fs, where = file_system(folder)
         for batch in batches:
             for name, want, sha in zip(*(batch.column(c).to_pylist() for c in ("file", "records", "sha256"))):
                 digest = hashlib.sha256()
-                with open(os.path.join(folder, name), "rb") as f:
+                with fs.open_input_stream(f"{where}/{name}", compression=None) as f:
                     while data := f.read(1 << 20):
                         digest.update(data)
                 if digest.hexdigest() != sha:
                     raise ValueError(f"{name} differs from its manifest")
                 rows, seen, size = [], 0, 0
-                with open(os.path.join(folder, name), "rb") as f:
+                with fs.open_input_stream(f"{where}/{name}", compression=None) as f:
                     for fields, block in read_records(f):
                         kind = fields["WARC-Type"]
                         if kind == "warcinfo":
@@ -197,7 +197,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) of a committed folder."""
     manifest = spark.read.parquet(f"{folder}/_manifest").select("file", "records", "sha256")
     files = manifest.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "file")
-    return files.mapInArrow(_reader(local_path(folder)), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return files.mapInArrow(_reader(folder), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def op10_warc(spark, sf_dir) -> DataFrame:

@@ -64,3 +64,18 @@ def test_damage_is_seen(spark, tmp_path):
 def test_empty(spark, tmp_path):
     warc.write_warc(frame(spark, []), f"{tmp_path}/w")
     assert warc.read_warc(spark, f"{tmp_path}/w").collect() == []
+
+
+def test_addresses():
+    from pyarrow import fs
+
+    from sedimenta.llm.common import file_system
+
+    for url in ("/a/b", "file:/a/b", "file:///a/b"):
+        where, path = file_system(url)
+        assert isinstance(where, fs.LocalFileSystem) and path == "/a/b"
+    try:
+        where, path = file_system("s3a://bucket/a/b")
+        assert path == "bucket/a/b" and isinstance(where, fs.S3FileSystem)
+    except (ImportError, NotImplementedError, OSError, ValueError):  # an Arrow without it says so instead of writing elsewhere
+        pass
