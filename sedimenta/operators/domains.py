@@ -52,7 +52,7 @@ def scores(text: Column, name: Column | None = None, ascii_ratio: Column | None
     """An array of (domain, score) for a text and, if known, its file name."""
     n = F.octet_length(text)
     name = F.lower(F.coalesce(name, F.lit(""))) if name is not None else F.lit("")
-    ten = _lines(F.substring(text, 1, 65_536))
+    ten = _lines(F.substring_index(text, "\n", 10))
     hits = lambda pattern: _some(ten, lambda x: x.rlike(pattern))
     at_least = lambda kb, yes, no: F.when(n >= kb * 1024, yes).otherwise(no)
     family = lambda d, kb, yes, no=0.35: F.when(hits(BY_ID[d].line) > 6, at_least(kb, yes, no)).otherwise(0.0)
@@ -67,13 +67,13 @@ def scores(text: Column, name: Column | None = None, ascii_ratio: Column | None
     http = F.when(name.contains("http"), 0.7).when(marks >= 3, 0.75).when(marks >= 1, 0.4).otherwise(0.0)
     objects = _some(ten, lambda x: F.try_parse_json(x).isNotNull() & F.trim(x).startswith("{"))
     json_log = F.when(name.rlike(r"\.(jsonl|ndjson)$"), 0.9).when(objects >= 5, 0.8).otherwise(0.0)
-    twenty = _lines(F.substring(text, 1, 65_536), 20)
+    twenty = _lines(F.substring_index(text, "\n", 20), 20)
     w3c = F.when(_some(twenty, lambda x: x.startswith("#Fields:")) > 0, F.when(n < 16_384, 0.35).when(_some(twenty, lambda x: x.startswith("#Version:")) > 0, 0.9).otherwise(0.8)).otherwise(0.0)
     first = F.substring_index(text, "\n", 1)
     commas = F.length(first) - F.length(F.replace(first, F.lit(","), F.lit("")))
     csv = F.when(name.endswith(".csv"), 0.9).when(name.endswith(".tsv"), 0.85).when((commas >= 2) & (F.regexp_count(text, F.lit("\n")) >= 11), 0.7).otherwise(0.0)
     lead = F.substring(F.trim(text), 1, 1)
-    keys = F.regexp_extract_all(F.substring(text, 1, 65_536), F.lit(r'"([^"\\]+)"\s*:'), F.lit(1))
+    keys = F.regexp_extract_all(text, F.lit(r'"([^"\\]+)"\s*:'), F.lit(1))
     repeated = F.size(keys) - F.size(F.array_distinct(keys))
     json = F.when(name.endswith(".jsonl"), 0.95).when((objects >= 5) & (lead == "{"), 0.9).when(lead.isin("{", "["), F.when(repeated >= 3, 0.7).otherwise(0.2)).otherwise(0.0)
     tags = F.regexp_count(text, F.lit("<[A-Za-z/]"))

@@ -1,6 +1,6 @@
 """Byte statistics and format hints of objects (one row each).
 
-byte_counts() is the relation (object, byte, count) from built-in functions. byte_stats() is the fast way: one
+byte_counts() is the relation (object, byte, count), counted in Arrow batches before the shuffle. byte_stats() is one
 Arrow pass, numpy per object, no shuffle. Format rules are column expressions on the leading bytes.
 """
 
@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from ..functions.scalars import count_char
 
@@ -22,9 +22,20 @@ _PRINTABLE[[9, 10, 13]] = True
 
 def byte_counts(df: DataFrame, id_col: str, col: str) -> DataFrame:
     """id_col, byte (0..255), n for every byte value that occurs."""
-    pairs = F.explode(F.regexp_extract_all(F.hex(F.col(col)), F.lit(".."), F.lit(0)))
-    counts = df.select(id_col, pairs.alias("pair")).groupBy(id_col, "pair").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(id_col, F.conv("pair", 16, 10).cast("int").alias("byte"), "n")
+    base = df.select(id_col, F.col(col).cast("binary").alias("_bytes"))
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(batch.column("_bytes").is_valid())
+            keys = batch.column(0).dictionary_encode(null_encoding="encode")
+            counts = np.zeros((len(keys.dictionary), 256), np.int64)
+            for i, data in zip(keys.indices.to_pylist(), batch.column("_bytes")):
+                counts[i] += np.bincount(np.frombuffer(data.as_buffer(), np.uint8), minlength=256)
+            at, byte = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(at)), pa.array(byte.astype(np.int32)), pa.array(counts[at, byte])], names=[id_col, "byte", "n"])
+
+    schema = StructType([base.schema[0], StructField("byte", IntegerType()), StructField("n", LongType())])
+    return base.mapInArrow(run, schema).groupBy(id_col, "byte").agg(F.sum("n").alias("n"))
 
 
 def stats_from_counts(counts: DataFrame, id_col: str) -> DataFrame:

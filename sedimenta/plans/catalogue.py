@@ -593,7 +593,7 @@ def bench_summary(spark, d):
     return lab.summary(b).select("engine", "files", "original", "compressed", *r6("ratio", "mean_ratio", "mean_compress", "mean_decompress"), "all_lossless")
 
 
-@query("with recursive b as (select o_orderpriority as stream, row_number() over (partition by o_orderpriority order by o_orderkey) as k, (o_custkey % 200)::double as bps from orders), s as (select stream, 0::bigint as k, 6 as level from b group by stream union all select s.stream, s.k + 1, greatest(1, least(12, level + trunc(greatest(-3, least(3, (bps - 100) / 100 * 2)))::int)) from s join b on b.stream = s.stream and b.k = s.k + 1 where s.k < 200) select stream, k, level from s where k > 0")
+@query("with b as (select o_orderpriority as stream, list((o_custkey % 200)::double order by o_orderkey) as bps from orders group by 1), s as (select stream, list_reduce(list_prepend([6.0::double], list_transform(bps, lambda x: [x])), lambda past, x: list_append(past, greatest(1, least(12, past[-1] + trunc(greatest(-3, least(3, (x[1] - 100) / 100 * 2))))))) as levels from b) select stream, unnest(range(1, len(levels)))::bigint as k, unnest(levels[2:])::int as level from s")
 def bandwidth_levels_orders(spark, d):
     o = t(spark, d, "orders").select(F.col("o_orderpriority").alias("stream"), "o_orderkey", (F.col("o_custkey") % 200).alias("bps"))
     return routing.bandwidth_steps(o, "stream", "o_orderkey", "bps", 100.0)
@@ -633,7 +633,10 @@ def journal_recovery_events(spark, d):
     return archive.recover(torn).select("seq", "key")
 
 
-@query("select date_trunc('hour', ts) as start, count(props) as n, sum(strlen(props))::bigint as bytes, sum(length(regexp_replace(props, '[^A-Za-z]', '', 'g')))::bigint as letters, sum(length(regexp_replace(props, '[^0-9]', '', 'g')))::bigint as digits from events group by 1")
+_WINDOWS = "select date_trunc('hour', ts) as start, count(props) as n, sum(strlen(props))::bigint as bytes, sum(length(regexp_replace(props, '[^A-Za-z]', '', 'g')))::bigint as letters, sum(length(regexp_replace(props, '[^0-9]', '', 'g')))::bigint as digits from events group by 1"
+
+
+@query(_WINDOWS)
 def window_profile_events(spark, d):
     from ..streaming import profiles
 
@@ -647,13 +650,14 @@ def _stream(spark, d):
     return profiles.events_stream(spark, f"{d}/events.parquet*", schema)
 
 
-@query()
+@query(_WINDOWS)
 def stream_ssr_events(spark, d):
     from ..streaming import profiles
 
     out, point = scratch(spark, "ssr"), scratch(spark, "point")
     w = profiles.window_profile(_stream(spark, d), "ts", "props")
-    w.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination()
+    # complete mode: the windows that the watermark has not passed count too; a repeated batch replaces the table
+    w.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(w.schema).parquet(out).drop("about")
 
 
