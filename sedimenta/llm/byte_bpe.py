@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import ensure_file, small_batches, table, text_or_empty
 
-LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 3 << 20, 4 << 20, 200_000
+LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 2 << 20, 4 << 20, 200_000
 #: White space as Unicode has it, and as the library's \s does; Python's adds U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -80,7 +80,7 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = compiled(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "384MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         at = self.ranks.get
         # every split of a token into two tokens; equal bytes have equal ranks, whatever their parts
         merges = [(x, y, k) for t, k in self.ranks.items() for i in range(1, len(t)) if (x := at(t[:i])) is not None and (y := at(t[i:])) is not None]

@@ -118,6 +118,18 @@ def small_batches(spark: SparkSession, mb: int = 4) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
 
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers outlive their tasks, and others run beside them."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def ensure_file(path: str) -> str:
     if not os.path.exists(path):
         raise FileNotFoundError(path)

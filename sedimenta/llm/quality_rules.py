@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, small_batches, table, text_or_empty
+from .common import fresh, materialize, release, small_batches, table, text_or_empty
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 MAX_SYMBOLS, MAX_DUP, WORD_LENGTH, MAX_HOST_RATE = 0.1, 0.3, (2, 14), 0.5
@@ -66,6 +66,7 @@ def _measure(batches):
         cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(FEATURES)
         keep = [c for c in batch.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *cols], names=[*keep, *FEATURES])
+    release()
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:

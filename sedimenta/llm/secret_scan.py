@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, text_or_empty
+from .common import release, small_batches, table, text_or_empty
 
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -347,6 +347,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", mode
             i = batch.schema.get_field_index(text_col)
             new = [None if t is None else masked(t, spans_of(t, model), mask) for t in batch.column(i).to_pylist()]
             yield batch.set_column(i, batch.schema.field(i), pa.array(new, batch.schema.field(i).type))
+        release()
 
     return docs.mapInArrow(run, schema)
 
