@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ensure_file, small_batches, table, text_or_empty
+from .common import ensure_file, release, small_batches, table, text_or_empty
 
-LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 2 << 20, 4 << 20, 200_000
+LONG, KEEP, STEP, SLICE, DECODE = 64, 300_000, 2 << 20, 1 << 20, 200_000
 #: White space as Unicode has it, and as the library's \s does; Python's adds U+001C to U+001F.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -80,17 +80,20 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = compiled(pattern).findall
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
         at = self.ranks.get
         # every split of a token into two tokens; equal bytes have equal ranks, whatever their parts
-        merges = [(x, y, k) for t, k in self.ranks.items() for i in range(1, len(t)) if (x := at(t[:i])) is not None and (y := at(t[i:])) is not None]
-        a, b, k = zip(*merges)
-        m = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "token": pa.array(k, pa.int32())})
+        flat = np.fromiter((n for t, k in self.ranks.items() for i in range(1, len(t)) if (x := at(t[:i])) is not None and (y := at(t[i:])) is not None for n in (x, y, k)), np.int32).reshape(-1, 3)
+        m = pa.table({c: pa.array(np.ascontiguousarray(flat[:, i])) for i, c in enumerate(("a", "b", "token"))})
         v = pa.table({"token": pa.array(list(self.ranks.values()), pa.int32()), "bytes": pa.array(list(self.ranks), pa.binary())})
         self.con.register("m", m)
         self.con.register("v", v)
         self.con.execute("create table merges as from m")
         self.con.execute("create table vocabulary as from v")
+        for name in ("m", "v"):
+            self.con.unregister(name)
+        del flat, m, v
+        release()
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.known = Pieces()
         self.tokens, self.ends, self.used = np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64)
@@ -285,7 +288,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: ids and decoded bytes of each text, as digests, in one pass."""
     path, pattern = vocabulary or public_vocabulary()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
@@ -300,6 +303,7 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     [batch.column("doc_id"), pa.array(ends - starts, pa.int64()), pa.array([sha(coded[a:b].tobytes()) for a, b in zip(starts, ends)], pa.string()), pa.array([sha(x) for x in c.decode(ids, ends)], pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
+            release()
 
     return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
