@@ -18,13 +18,13 @@ doc_id of the class that joined no other, so that a container stays rather than
 3. *Exact check* of these, and components: the classes of near copies so far.
 4. *Containers.* The k least shingle hashes of a set are its minima: all of up to EXACT, PROBES of a larger set. A text that
    contains 0.8 of the set has at least `least` of them (for sure, or with a miss of at most MISS), so at least one of
-   the k - least + 1 rarest. Texts send only shingles that are somebody's minimum (a bit array of fixed size tells). Rarity
+   the k - least + 1 rarest. Texts send only shingles that are somebody's minimum (a bit array that grows with their number tells). Rarity
    is counted in classes. Where a shingle is in more than MANY classes, those with the same set of shingles as frequent
    are represented by their largest text. Candidates are thus linear in the input, whatever passages are shared.
    All sizes take part, so links of like size that a star missed are found here as well.
 5. *Exact check* of these, near copies again, and one container for each class.
 
-Bits of fixed size are broadcast; else nothing but counts reaches the driver.
+Bit arrays of up to 128 MB are broadcast; else nothing but counts reaches the driver.
 
 Nulls and edge cases: a null text counts as empty; texts without words are linked to equal texts only;
 texts of one to four words have themselves as their one shingle; repeated rows and equal texts share a class, whatever
@@ -48,7 +48,8 @@ from .common import Tables, fresh, release, small_batches, table, text_or_empty
 
 SHINGLE, THRESHOLD, HASHES, MISS = 5, 0.8, 128, 2e-3
 SMALL, HOT_LOCAL, FLUSH = 8, 64, 1 << 21
-PROBES, EXACT, MANY, BITS = 24, 64, 16, 27
+PROBES, EXACT, MANY = 24, 64, 16
+PLACES, MOST_BITS = 16, 30  #: places a number in a bit array; 2**MOST_BITS are 128 MB
 BUCKET = 8 << 20  #: bytes of keys that one task sorts
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -356,28 +357,37 @@ def _group(t: pa.Table) -> pa.Table:
 # --- containers --------------------------------------------------------------------------------------
 
 
-def _places(v):
-    """Two bits for a number, as Spark columns or as arrays of unsigned numbers."""
-    low = (1 << BITS) - 1
+def log_bits(n: int) -> int:
+    """Bits of a place in a bit array of n numbers: PLACES of them a number, so that some 1.4 % of others pass. Only past 67 million numbers more do."""
+    return min(MOST_BITS, max(16, math.ceil(math.log2(max(1, n) * PLACES))))
+
+
+def _places(v, width: int):
+    """Two places below 2**width for a number, as Spark columns or as arrays of unsigned numbers."""
+    low = (1 << width) - 1
     if isinstance(v, np.ndarray):
-        return v & v.dtype.type(low), v >> v.dtype.type(64 - BITS - 20) & v.dtype.type(low)
-    return v.bitwiseAND(low), F.shiftrightunsigned(v, 64 - BITS - 20).bitwiseAND(low)
+        return v & v.dtype.type(low), v >> v.dtype.type(64 - width - 20) & v.dtype.type(low)
+    return v.bitwiseAND(low), F.shiftrightunsigned(v, 64 - width - 20).bitwiseAND(low)
 
 
-def bits_of(numbers: DataFrame) -> np.ndarray:
-    """A bit array of 2**BITS bits (16 MB, whatever the input) with two bits set for each number. numbers: (v long)."""
-    at = F.explode(F.array(*_places(F.col("v")))).alias("at")
+def bits_of(numbers: DataFrame, n: int) -> np.ndarray:
+    """A bit array with two bits set for each number, sized for n of them. numbers: (v long)."""
+    width = log_bits(n)
+    at = F.explode(F.array(*_places(F.col("v"), width))).alias("at")
     rows = numbers.select(at).groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")).toArrow()
-    out = np.zeros((1 << BITS) >> 3, np.uint8).reshape(-1, 4096)
-    for k, bits in zip(rows.column("k").to_pylist(), rows.column("bits").to_pylist()):
-        out[k - 1, : len(bits)] = np.frombuffer(bits, np.uint8)
+    out = np.zeros((1 << width) >> 3, np.uint8).reshape(-1, 4096)
+    for k, bits in zip(rows.column("k").to_pylist(), rows.column("bits")):
+        out[k - 1] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out.ravel()
 
 
 def has_bits(bits: np.ndarray, v: np.ndarray) -> np.ndarray:
-    seen = np.ones(len(v), bool)
-    for at in _places(v.view(np.uint64)):
-        seen &= bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
+    at = np.arange(len(v))
+    for turn in range(2):  # the second place only of those that pass the first
+        place = _places(v[at].view(np.uint64), len(bits).bit_length() + 2)[turn]
+        at = at[bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0]
+    seen = np.zeros(len(v), bool)
+    seen[at] = True
     return seen
 
 
@@ -506,7 +516,7 @@ def _contained(batches):
 def _check(pairs: DataFrame, plain: DataFrame, threshold: float, like: bool, held: Tables) -> DataFrame:
     """a, b, na, nb, shared of the linked ones of pairs (a, b). Only texts whose node's bit is set are made sets; like: only near copies are wanted."""
     nodes = pairs.select(F.col("a").alias("v")).union(pairs.select("b"))
-    bits = held.send(bits_of(nodes))
+    bits = held.send(bits_of(nodes, 2 * pairs.count()))
     sets = plain.mapInArrow(_sets_of(bits), "node long, n long, shingles binary").join(nodes.distinct().withColumnRenamed("v", "node"), "node", "left_semi").dropDuplicates(["node"])
     sa, sb = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(sa, "a").join(sb, "b")
@@ -547,9 +557,9 @@ def _links(plain: DataFrame, threshold: float, held: Tables) -> tuple[DataFrame,
     held.forget()
     label = components(like, held)
 
-    bits = bits_of(found.filter("kind = 3").select("probes").mapInArrow(_probe_hashes, "v long"))
-    words = int(found.filter("kind = 3").agg(F.sum("b")).first()[0] or 0)
-    filled, bits = float(np.bitwise_count(bits).sum()) / (1 << BITS), held.send(bits)
+    words, probes = (int(x or 0) for x in found.filter("kind = 3").agg(F.sum("b"), F.sum(F.octet_length("probes")) / 8).first())
+    bits = bits_of(found.filter("kind = 3").select("probes").mapInArrow(_probe_hashes, "v long"), probes)
+    filled, bits = float(np.bitwise_count(bits).sum(dtype=np.int64)) / (8 * len(bits)), held.send(bits)
     buckets = max(8, math.ceil((2 * PROBES * n + filled**2 * words) * 20 / BUCKET))
     postings = plain.mapInArrow(_postings(bits, buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_shared, "h long, node long, n long, probe boolean")
     tried = held.keep(_container_pairs(postings, label, held), "near-tried")

@@ -160,3 +160,16 @@ def test_misses_are_as_tuned():
     k, least = probe_plan(100)
     assert np.mean(g.binomial(k, 0.8, 10**6) < least) <= MISS
     assert [probe_plan(n) for n in (1, 5, 10, 64)] == [(1, 1), (5, 4), (10, 8), (64, 52)]
+
+
+def test_bit_arrays_grow_with_the_input(spark):
+    """What passes the bits by chance is sent: in a fixed array that becomes every shingle of a large table."""
+    from sedimenta.llm.minhash import bits_of, has_bits, log_bits
+
+    assert all(2 ** log_bits(n) >= 14 * n for n in (10**5, 6 * 10**6, 72 * 10**6)) and log_bits(10**10) == 30
+    for n in (300, 300_000):
+        numbers = np.random.default_rng(n).integers(-(2**63), 2**63, 2 * n)
+        bits = bits_of(spark.createDataFrame([(x,) for x in numbers[:300].tolist()], "v long") if n == 300 else spark.range(n).selectExpr("xxhash64(id) as v"), n)
+        if n == 300:
+            assert has_bits(bits, numbers[:300]).all()
+        assert len(bits) == 2 ** log_bits(n) // 8 and has_bits(bits, numbers[n:]).mean() < 0.02
