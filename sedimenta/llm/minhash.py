@@ -20,9 +20,12 @@ doc_id of the class that joined no other, so that a container stays rather than
    contains 0.8 of the set has at least `least` of them (for sure, or with a miss of at most MISS), so at least one of
    the k - least + 1 rarest. Texts send only shingles that are somebody's minimum (a bit array that grows with their number tells). Rarity
    is counted in classes. Where a shingle is in more than MANY classes, those with the same set of shingles as frequent
-   are represented by their largest text. Candidates are thus linear in the input, whatever passages are shared.
-   All sizes take part, so links of like size that a star missed are found here as well.
-5. *Exact check* of these, near copies again, and one container for each class.
+   are represented by their largest text, and a class by two texts a shingle. These go first, as they are linear in the input.
+5. *Exact check* of these, near copies again, and the best container so far of each class.
+6. *The rest.* All other texts that have such a shingle are tried too, whatever their number, but those of a's own class
+   and those that are neither of like size nor a better container than the one found, since they could change nothing. All
+   sizes take part, so links of like size that a star missed are found here as well. Where classes grow by what is
+   found, this is done again.
 
 Bit arrays of up to 128 MB are broadcast; else nothing but counts reaches the driver.
 
@@ -455,8 +458,8 @@ def _shared(t: pa.Table) -> pa.Table:
     return pa.concat_tables(out) if out else pa.table({"h": pa.array([], pa.int64()), "node": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "probe": pa.array([], pa.bool_())})
 
 
-def _container_pairs(postings: DataFrame, label: DataFrame, held: Tables) -> DataFrame:
-    """a, b: candidates, b with at least as many shingles as a, of another class, and with enough of a's minima."""
+def _container_pairs(postings: DataFrame, label: DataFrame, held: Tables):
+    """a, b: first candidates, b with at least as many shingles as a, of another class, and with enough of a's minima. A function that gives the others."""
     p = held.keep(postings.join(label, "node", "left").select("h", "node", "n", "probe", F.coalesce("label", "node").alias("cls")), "near-shared")
     # two texts a class and shingle, the largest and one that differs from shingle to shingle: a class of thousands of copies counts once
     largest, other = F.max(F.struct(F.col("n").alias("bn"), (-F.col("node")).alias("least"), F.col("node").alias("b"))), F.min(F.struct(F.xxhash64("node", "h").alias("any"), F.col("n").alias("bn"), F.col("node").alias("b")))
@@ -479,7 +482,21 @@ def _container_pairs(postings: DataFrame, label: DataFrame, held: Tables) -> Dat
     many = many.join(alike, ["cls", "level"]).groupBy("h", "alike").agg(F.max(F.struct("bn", (-F.col("b")).alias("least"), "b", "cls")).alias("w")).select("h", F.col("w.cls").alias("cls"), F.col("w.bn").alias("bn"), F.col("w.b").alias("b"))
     tried = held.keep(chosen.join(few.union(many), "h").filter("b <> a and bn >= an and cls <> acls").select("a", "b").distinct(), "near-seen")
     of_a, of_b = p.filter("probe").select("h", F.col("node").alias("a"), least.alias("least")), p.select("h", F.col("node").alias("b"))
-    return tried.join(of_a, "a").join(of_b, ["h", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("held"), F.first("least").alias("least")).filter("held >= least").select("a", "b")
+
+    def enough(pairs: DataFrame) -> DataFrame:
+        return pairs.join(of_a, "a").join(of_b, ["h", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("held"), F.first("least").alias("least")).filter("held >= least").select("a", "b")
+
+    def others(done: DataFrame, label: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
+        """All candidates of these classes but those done that can still matter: of like size, or a better container than the best of a's class. best: (la, most, at)."""
+        la, lb = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+        asks = chosen.select("h", "a", "an", "acls").join(of.select("h", "cls", F.greatest("bn", "xn").alias("bn")), "h").filter("bn >= an and cls <> acls").select("h", "a", "an", "cls")
+        pairs = asks.join(p.select("h", "cls", F.col("node").alias("b"), F.col("n").alias("bn")), ["h", "cls"]).filter("b <> a and bn >= an").select("a", "an", "b", "bn")
+        pairs = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la <> lb").join(best, "la", "left")
+        better = F.isnull("most") | (F.col("bn") > F.col("most")) | ((F.col("bn") == F.col("most")) & (F.col("b") < F.col("at")))
+        pairs = pairs.filter((F.col("an") >= F.col("bn") * threshold - 1e-9) | better).select("a", "b").distinct()
+        return enough(held.keep(pairs.join(done, ["a", "b"], "left_anti"), "near-others"))
+
+    return enough(tried), others
 
 
 # --- exact checks and classes ------------------------------------------------------------------------
@@ -562,14 +579,33 @@ def _links(plain: DataFrame, threshold: float, held: Tables) -> tuple[DataFrame,
     filled, bits = float(np.bitwise_count(bits).sum(dtype=np.int64)) / (8 * len(bits)), held.send(bits)
     buckets = max(8, math.ceil((2 * PROBES * n + filled**2 * words) * 20 / BUCKET))
     postings = plain.mapInArrow(_postings(bits, buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_shared, "h long, node long, n long, probe boolean")
-    tried = held.keep(_container_pairs(postings, label, held), "near-tried")
+    first, others = _container_pairs(postings, label, held)
+    done = tried = held.keep(first, "near-tried")
     held.forget()
-    links = held.keep(_check(tried, plain, threshold, False, held), "near-contained")
+    links, near = None, like.select("a", "b")
     both = F.col("shared") >= threshold * F.greatest("na", "nb") - 1e-9
-    more = links.filter(both)
-    if more.limit(1).count():
-        label = components(like.select("a", "b").union(more.select("a", "b")), held)
-    return label, links.filter(~both)
+    while True:
+        new = held.keep(_check(tried, plain, threshold, False, held), "near-contained")
+        held.forget()
+        more = new.filter(both).limit(1).count()
+        if more:
+            near = near.union(new.filter(both).select("a", "b"))
+            label = components(near, held)
+        elif links is not None:  # the classes stay as they are, so all that was passed over is no better than what was found
+            return label, links.union(new).filter(~both)
+        links = new if links is None else links.union(new)
+        best = held.keep(_best(links.filter(~both), label).select("la", F.col("w.nb").alias("most"), F.col("w.b").alias("at")), "near-best")
+        tried = held.keep(others(done, label, best, threshold), "near-tried")
+        if not tried.limit(1).count():
+            return label, links.filter(~both)
+        done = done.union(tried)
+
+
+def _best(contained: DataFrame, label: DataFrame) -> DataFrame:
+    """la, w: each class's one container outside it: the largest text, then the least node."""
+    la, lb = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
+    up = contained.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), "nb", "b").filter("la <> lb")
+    return up.groupBy("la").agg(F.max(F.struct("nb", (-F.col("b")).alias("least"), "lb", "b")).alias("w"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -578,10 +614,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, id_col: str =
     with Tables(docs.sparkSession) as held:
         base = _nodes(docs, id_col, text_col)
         label, contained = _links(base.select("node", "text"), threshold, held)
-        # each class's one container: the largest text, then the least node
-        la, lb = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        up = contained.join(la, "a", "left").join(lb, "b", "left").select(F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), "nb", "b").filter("la <> lb")
-        up = held.keep(up.groupBy("la").agg(F.max(F.struct("nb", (-F.col("b")).alias("least"), "lb")).alias("w")).select("la", F.col("w.lb").alias("lb")), "near-up")
+        up = held.keep(_best(contained, label).select("la", F.col("w.lb").alias("lb")), "near-up")
         top = components(up.select(F.col("la").alias("a"), F.col("lb").alias("b")), held).select(F.col("node").alias("label"), F.col("label").alias("top"))
         rows = held.keep(base.select("doc_id", "node"), "near-rows").join(label, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("near"))
         rows = rows.join(top.withColumnRenamed("label", "near"), "near", "left").join(up.select(F.col("la").alias("near"), F.lit(True).alias("inside")), "near", "left")

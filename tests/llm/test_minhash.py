@@ -173,3 +173,19 @@ def test_bit_arrays_grow_with_the_input(spark):
         if n == 300:
             assert has_bits(bits, numbers[:300]).all()
         assert len(bits) == 2 ** log_bits(n) // 8 and has_bits(bits, numbers[n:]).mean() < 0.02
+
+
+def test_containers_behind_a_larger_text_with_the_same_minima(spark):
+    """Many texts have all minima of one text, but little else of it; the text that contains it is not the largest of them."""
+    from sedimenta.llm.minhash import PROBES, shingle_sets
+
+    r = random.Random(12)
+    words = ["p%d" % r.randrange(10**6) for _ in range(400)]
+    own = lambda n: ["q%d" % r.randrange(10**9) for _ in range(n)]
+    windows = [words[i : i + 5] for i in range(396)]
+    least = sorted(windows, key=lambda w: shingle_sets([" ".join(w).encode()])[0][0])[:PROBES]
+    rows = [(900, " ".join(words)), (901, " ".join(words + own(150)))]
+    for i in range(30):
+        rows.append((i, " ".join(w for x in least for w in x + own(25 + i % 3))))
+    want = brute(rows)
+    assert [901, 900, 901] in want and classes(spark, rows) == want
