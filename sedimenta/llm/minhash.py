@@ -19,13 +19,13 @@ doc_id of the class that joined no other, so that a container stays rather than
 4. *Containers.* The k least shingle hashes of a set are its minima: all of up to EXACT, PROBES of a larger set. A text that
    contains 0.8 of the set has at least `least` of them (for sure, or with a miss of at most MISS), so at least one of
    the k - least + 1 rarest. Texts send only shingles that are somebody's minimum (a bit array that grows with their number tells). Rarity
-   is counted in classes. Where a shingle is in more than MANY classes, those with the same set of shingles as frequent
+   is counted in classes. Where a shingle is in more than MANY classes, those with the same set of shingles as frequent (that anyone consults)
    are represented by their largest text, and a class by two texts a shingle. These go first, as they are linear in the input.
 5. *Exact check* of these, near copies again, and the best container so far of each class.
 6. *The rest.* All other texts that have such a shingle are tried too, whatever their number, but those of a's own class
    and those that are neither of like size nor a better container than the one found, since they could change nothing. All
    sizes take part, so links of like size that a star missed are found here as well. Where classes grow by what is
-   found, this is done again.
+   found, this is done again for these classes.
 
 Bit arrays of up to 128 MB are broadcast; else nothing but counts reaches the driver.
 
@@ -460,7 +460,9 @@ def _shared(t: pa.Table) -> pa.Table:
 
 def _container_pairs(postings: DataFrame, label: DataFrame, held: Tables):
     """a, b: first candidates, b with at least as many shingles as a, of another class, and with enough of a's minima. A function that gives the others."""
-    p = held.keep(postings.join(label, "node", "left").select("h", "node", "n", "probe", F.coalesce("label", "node").alias("cls")), "near-shared")
+    # copies of a text in several tasks each send what is hot there: a text counts once
+    p = postings.join(label, "node", "left").select("h", "node", "n", "probe", F.coalesce("label", "node").alias("cls")).dropDuplicates(["node", "h"])
+    p = held.keep(p, "near-shared")
     # two texts a class and shingle, the largest and one that differs from shingle to shingle: a class of thousands of copies counts once
     largest, other = F.max(F.struct(F.col("n").alias("bn"), (-F.col("node")).alias("least"), F.col("node").alias("b"))), F.min(F.struct(F.xxhash64("node", "h").alias("any"), F.col("n").alias("bn"), F.col("node").alias("b")))
     of = held.keep(p.groupBy("h", "cls").agg(largest.alias("w"), other.alias("x")).select("h", "cls", F.col("w.bn").alias("bn"), F.col("w.b").alias("b"), F.col("x.bn").alias("xn"), F.col("x.b").alias("x")), "near-of")
@@ -472,29 +474,34 @@ def _container_pairs(postings: DataFrame, label: DataFrame, held: Tables):
     rank = F.row_number().over(W.partitionBy("node").orderBy("df", "h"))
     chosen = probes.withColumn("rank", rank).filter((F.col("rank") <= F.col("found") - least + 1) & (k >= least)).select("h", F.col("node").alias("a"), F.col("n").alias("an"), F.col("cls").alias("acls"), "df")
     chosen = held.keep(chosen, "near-chosen")
-    few = of.join(df.filter(F.col("df") <= MANY).select("h"), "h")
+    asked = chosen.select("h", "df").distinct()
+    few = of.join(asked.filter(F.col("df") <= MANY).select("h"), "h")
     few = few.select("h", "cls", "bn", "b").union(few.filter("x <> b").select("h", "cls", "xn", "x"))
-    # a text that consults a shingle has no rarer one to go by, so classes with the same set of equally or more frequent ones are alike to it
-    many = of.join(df.filter(F.col("df") > MANY).select("h", F.floor(F.log2("df")).alias("level")), "h")
+    # a text that consults a shingle has no rarer one to go by, so classes with the same set of equally or more frequent ones (of those that anyone consults) are alike to it
+    many = of.join(asked.filter(F.col("df") > MANY).select("h", F.floor(F.log2("df")).alias("level")), "h")
     levels = many.groupBy("cls", "level").agg(F.bit_xor(F.xxhash64("h")).alias("part"))
     upward = W.partitionBy("cls").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, 0)
     alike = levels.select("cls", "level", F.bit_xor("part").over(upward).alias("alike"))
     many = many.join(alike, ["cls", "level"]).groupBy("h", "alike").agg(F.max(F.struct("bn", (-F.col("b")).alias("least"), "b", "cls")).alias("w")).select("h", F.col("w.cls").alias("cls"), F.col("w.bn").alias("bn"), F.col("w.b").alias("b"))
     tried = held.keep(chosen.join(few.union(many), "h").filter("b <> a and bn >= an and cls <> acls").select("a", "b").distinct(), "near-seen")
-    of_a, of_b = p.filter("probe").select("h", F.col("node").alias("a"), least.alias("least")), p.select("h", F.col("node").alias("b"))
+    lists = held.keep(p.groupBy("node").agg(F.collect_list("h").alias("there"), F.collect_list(F.when(F.col("probe"), F.col("h"))).alias("looked"), F.first(least).alias("least")), "near-lists")
+    of_a = lists.join(chosen.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("a"), "looked", "least")
+    of_b = lists.select(F.col("node").alias("b"), "there")
 
     def enough(pairs: DataFrame) -> DataFrame:
-        return pairs.join(of_a, "a").join(of_b, ["h", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("held"), F.first("least").alias("least")).filter("held >= least").select("a", "b")
+        return pairs.join(of_a, "a").join(of_b, "b").filter(F.size(F.array_intersect("looked", "there")) >= F.col("least")).select("a", "b")
 
-    def others(done: DataFrame, label: DataFrame, best: DataFrame, threshold: float) -> DataFrame:
-        """All candidates of these classes but those done that can still matter: of like size, or a better container than the best of a's class. best: (la, most, at)."""
+    def others(done: DataFrame, label: DataFrame, best: DataFrame, threshold: float, grown: DataFrame | None) -> DataFrame:
+        """All candidates of the classes in grown (None: of all) but those done that can still matter: of like size, or a better container than the best of a's class. best: (la, most, at)."""
         la, lb = (label.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-        asks = chosen.select("h", "a", "an", "acls").join(of.select("h", "cls", F.greatest("bn", "xn").alias("bn")), "h").filter("bn >= an and cls <> acls").select("h", "a", "an", "cls")
-        pairs = asks.join(p.select("h", "cls", F.col("node").alias("b"), F.col("n").alias("bn")), ["h", "cls"]).filter("b <> a and bn >= an").select("a", "an", "b", "bn")
-        pairs = pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"la": F.coalesce("la", "a"), "lb": F.coalesce("lb", "b")}).filter("la <> lb").join(best, "la", "left")
+        asks = chosen.select("h", "a", "an", "acls").join(la, "a", "left").withColumn("la", F.coalesce("la", "a"))
+        if grown is not None:
+            asks = asks.join(grown, "la", "left_semi")
+        asks = asks.join(best, "la", "left").join(of.select("h", "cls", F.greatest("bn", "xn").alias("bn")), "h").filter("bn >= an and cls <> acls").drop("bn", "acls")
         better = F.isnull("most") | (F.col("bn") > F.col("most")) | ((F.col("bn") == F.col("most")) & (F.col("b") < F.col("at")))
-        pairs = pairs.filter((F.col("an") >= F.col("bn") * threshold - 1e-9) | better).select("a", "b").distinct()
-        return enough(held.keep(pairs.join(done, ["a", "b"], "left_anti"), "near-others"))
+        pairs = asks.join(p.select("h", "cls", F.col("node").alias("b"), F.col("n").alias("bn")), ["h", "cls"]).filter("b <> a and bn >= an").filter((F.col("an") >= F.col("bn") * threshold - 1e-9) | better)
+        pairs = pairs.groupBy("a", "b").agg(F.first("la").alias("la")).join(done, ["a", "b"], "left_anti")
+        return enough(held.keep(pairs.join(lb, "b", "left").filter(F.col("la") != F.coalesce("lb", "b")).select("a", "b"), "near-others"))
 
     return enough(tried), others
 
@@ -502,7 +509,7 @@ def _container_pairs(postings: DataFrame, label: DataFrame, held: Tables):
 # --- exact checks and classes ------------------------------------------------------------------------
 
 
-def _sets_of(bits):
+def _sets_of(bits, kind):
     schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
@@ -511,38 +518,50 @@ def _sets_of(bits):
             batch = batch.filter(pa.array(has_bits(have, batch.column("node").to_numpy())))
             if batch.num_rows:
                 sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([len(s) for s in sets], pa.int64()), pa.array([(s >> np.uint64(64 - 8 * kind().itemsize)).astype(kind).tobytes() for s in sets], pa.binary())], schema=schema)
         release()
 
     return run
 
 
-def _contained(batches):
+def _contained(kind):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("na", pa.int64()), ("nb", pa.int64()), ("shared", pa.int64())])
-    for batch in batches:
-        shared = []
-        for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            small, large = (p, q) if len(p) <= len(q) else (q, p)
-            i = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            shared.append(int((large[i] == small).sum()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], schema=schema)
-    release()
 
+    def run(batches):
+        for batch in batches:
+            shared = []
+            for p, q in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
+                p, q = np.frombuffer(p, kind), np.frombuffer(q, kind)
+                small, large = (p, q) if len(p) <= len(q) else (q, p)
+                i = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                shared.append(int((large[i] == small).sum()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "na", "nb")), pa.array(shared, pa.int64())], schema=schema)
+        release()
 
-def _check(pairs: DataFrame, plain: DataFrame, threshold: float, like: bool, held: Tables) -> DataFrame:
-    """a, b, na, nb, shared of the linked ones of pairs (a, b). Only texts whose node's bit is set are made sets; like: only near copies are wanted."""
+    return run
+
+
+def _compare(pairs: DataFrame, plain: DataFrame, threshold: float, like: bool, held: Tables, kind) -> DataFrame:
+    """a, b, na, nb, shared of the linked ones of pairs (a, b). Only texts whose node's bit is set are made sets. kind: of the leading bits by which
+    shingles are compared; with fewer than 64, shared is no less than it is, so that links and some others are left."""
     nodes = pairs.select(F.col("a").alias("v")).union(pairs.select("b"))
     bits = held.send(bits_of(nodes, 2 * pairs.count()))
-    sets = plain.mapInArrow(_sets_of(bits), "node long, n long, shingles binary").join(nodes.distinct().withColumnRenamed("v", "node"), "node", "left_semi").dropDuplicates(["node"])
+    sets = plain.mapInArrow(_sets_of(bits, kind), "node long, n long, shingles binary").join(nodes.distinct().withColumnRenamed("v", "node"), "node", "left_semi").dropDuplicates(["node"])
     sa, sb = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}")) for x in "ab")
     joined = pairs.join(sa, "a").join(sb, "b")
     if like:
         joined = joined.filter(F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)
-    found = joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_contained, "a long, b long, na long, nb long, shared long")
+    found = joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_contained(kind), "a long, b long, na long, nb long, shared long")
     return found.filter(F.col("shared") >= threshold * (F.greatest("na", "nb") if like else F.least("na", "nb")) - 1e-9)
 
 
+def _check(pairs: DataFrame, plain: DataFrame, threshold: float, like: bool, held: Tables) -> DataFrame:
+    """a, b, na, nb, shared of the linked ones of pairs (a, b); like: only near copies are wanted."""
+    if not like:  # few of these are links: most go by 16 bits of each shingle, which never lose one
+        pairs = held.keep(_compare(pairs, plain, threshold, like, held, np.uint16).select("a", "b"), "near-likely")
+    return _compare(pairs, plain, threshold, like, held, np.uint64)
+
+
 def components(links: DataFrame, held: Tables, name: str = "near-labels") -> DataFrame:
     """node, label: the least node of each linked node's component. Rounds of least-neighbour and label-of-label, each a written table."""
     both = held.keep(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), f"{name}-edges")
@@ -582,7 +601,7 @@ def _links(plain: DataFrame, threshold: float, held: Tables) -> tuple[DataFrame,
     first, others = _container_pairs(postings, label, held)
     done = tried = held.keep(first, "near-tried")
     held.forget()
-    links, near = None, like.select("a", "b")
+    links, near, grown = None, like.select("a", "b"), None
     both = F.col("shared") >= threshold * F.greatest("na", "nb") - 1e-9
     while True:
         new = held.keep(_check(tried, plain, threshold, False, held), "near-contained")
@@ -590,12 +609,14 @@ def _links(plain: DataFrame, threshold: float, held: Tables) -> tuple[DataFrame,
         more = new.filter(both).limit(1).count()
         if more:
             near = near.union(new.filter(both).select("a", "b"))
-            label = components(near, held)
+            old, label = label.withColumnRenamed("label", "old"), components(near, held)
+            if links is not None:  # other classes have no candidates but those of the round before
+                grown = label.join(old, "node", "left").filter(F.coalesce("old", "node") != F.col("label")).select(F.col("label").alias("la")).distinct()
         elif links is not None:  # the classes stay as they are, so all that was passed over is no better than what was found
             return label, links.union(new).filter(~both)
         links = new if links is None else links.union(new)
         best = held.keep(_best(links.filter(~both), label).select("la", F.col("w.nb").alias("most"), F.col("w.b").alias("at")), "near-best")
-        tried = held.keep(others(done, label, best, threshold), "near-tried")
+        tried = held.keep(others(done, label, best, threshold, grown), "near-tried")
         if not tried.limit(1).count():
             return label, links.filter(~both)
         done = done.union(tried)

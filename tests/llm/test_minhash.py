@@ -189,3 +189,45 @@ def test_containers_behind_a_larger_text_with_the_same_minima(spark):
         rows.append((i, " ".join(w for x in least for w in x + own(25 + i % 3))))
     want = brute(rows)
     assert [901, 900, 901] in want and classes(spark, rows) == want
+
+
+def test_copies_count_once(spark, monkeypatch):
+    """Copies of a text in several tasks send a shingle that is hot in each; counted as often, they made any text that shares a passage a candidate."""
+    from sedimenta.llm.common import Tables
+
+    r = random.Random(13)
+    own = lambda n: " ".join("q%d" % r.randrange(10**9) for _ in range(n))
+    passage = own(12)
+    rows = [(i, f"{own(20)} {passage} {own(20 + i)}") for i in range(70)] + [(100, f"{passage} {own(4)}"), (101, f"{passage} end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    text = dict(df.selectExpr("xxhash64(text)", "text").collect())
+    tried, keep = set(), Tables.keep
+
+    def watched(self, df, what):
+        out = keep(self, df, what)
+        if what in ("near-seen", "near-others"):
+            tried.update((r.a, r.b) for r in out.collect())
+        return out
+
+    monkeypatch.setattr(Tables, "keep", watched)
+    got = {}
+    for x in near_duplicates(df.union(df).union(df)).collect():
+        got.setdefault(x.class_id, []).append(x.doc_id)
+    assert sorted(([k, *sorted(v)] for k, v in got.items()), key=str) == brute(rows * 3)
+    assert {text[a] for a, _ in tried} == {f"{passage} end"}
+
+
+def test_sixteen_bits_lose_no_link():
+    import pyarrow as pa
+
+    from sedimenta.llm.minhash import _contained
+
+    g = np.random.default_rng(3)
+    b = np.unique(g.integers(0, 2**64, 9000, dtype=np.uint64))
+    a = np.unique(np.concatenate([g.choice(b, 80, replace=False), g.integers(0, 2**64, 300, dtype=np.uint64)]))
+    for p, q in ((a, b), (b, a)):
+        shared = []
+        for kind, shift in ((np.uint64, 0), (np.uint16, 48)):
+            row = [pa.array([1]), pa.array([2]), pa.array([len(p)]), pa.array([len(q)]), *(pa.array([(v >> np.uint64(shift)).astype(kind).tobytes()]) for v in (p, q))]
+            shared.append(next(_contained(kind)([pa.RecordBatch.from_arrays(row, names=["a", "b", "na", "nb", "sa", "sb"])])).column("shared")[0].as_py())
+        assert shared[0] == 80 <= shared[1] < 160
