@@ -62,3 +62,10 @@ def strict_int(s: Column) -> Column:
 
 def count_char(s: Column, c: str) -> Column:
     return F.length(s) - F.length(F.replace(s, F.lit(c), F.lit("")))
+
+
+def round_double(x: Column, places: int) -> Column:
+    """A double rounded in binary, as SQL engines of doubles do: x * 10^places to the nearest integer, halves away from zero, and back.
+    F.round() rounds the shortest decimal text instead, so 323 / 640 (0.5046875) becomes 0.504688 there and 0.504687 here."""
+    scaled = F.round(x * F.lit(10.0**places)) / F.lit(10.0**places)
+    return F.when(F.abs(scaled) < float("inf"), scaled).otherwise(x)

@@ -35,7 +35,7 @@ def t(spark, d: str, name: str) -> DataFrame:
 
 
 def r6(*names: str):
-    return [F.round(F.col(c), 6).alias(c) for c in names]
+    return [S.round_double(F.col(c), 6).alias(c) for c in names]
 
 
 # --- profiles ------------------------------------------------------------------------------------------
@@ -63,7 +63,7 @@ def byte_histogram_documents(spark, d):
 @query(f"{_PROFILE} select source, sum(size)::bigint as size, round(sum(ascii_ratio * size) / sum(size), 6) as ascii_ratio from p join documents using (doc_id) group by source")
 def ascii_ratio_documents(spark, d):
     p = profile.byte_stats(t(spark, d, "documents").select("source", "text"), "text")
-    return p.groupBy("source").agg(F.sum("size").alias("size"), F.round(F.sum(F.col("ascii_ratio") * F.col("size")) / F.sum("size"), 6).alias("ascii_ratio"))
+    return p.groupBy("source").agg(F.sum("size").alias("size"), S.round_double(F.sum(F.col("ascii_ratio") * F.col("size")) / F.sum("size"), 6).alias("ascii_ratio"))
 
 
 _HANDLER = f"""case when html is null or html = '' then null when regexp_matches(html, '^[ \\t\\n\\f\\r]*[{{\\[]') then 'json'
@@ -326,7 +326,7 @@ def float_xor_events(spark, d):
 @query("with e as (select vec_id, unnest(embedding) as x, generate_subscripts(embedding, 1) as dim from embeddings) select dim - 1 as dim, count(*) as n, round(min(x)::double, 6) as lo, round(max(x)::double, 6) as hi from e group by dim")
 def transpose_embeddings(spark, d):
     e = t(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x"))
-    return e.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min("x").cast("double"), 6).alias("lo"), F.round(F.max("x").cast("double"), 6).alias("hi"))
+    return e.groupBy(F.col("dim").cast("long").alias("dim")).agg(F.count(F.lit(1)).alias("n"), S.round_double(F.min("x").cast("double"), 6).alias("lo"), S.round_double(F.max("x").cast("double"), 6).alias("hi"))
 
 
 def _round_trips(rows, names, key, col="text"):

@@ -3,7 +3,9 @@
 import random
 
 import duckdb
+from pyspark.sql import functions as F
 
+from sedimenta.functions import scalars as S
 from sedimenta.operators import corpus, routing
 from sedimenta.plans import catalogue
 
@@ -63,3 +65,19 @@ def test_every_document_counts_for_homogeneity(spark):
     want = con.sql(catalogue.oracle_sql()["homogeneity_each_document"])
     assert [tuple(r) for r in got.collect()] == want.fetchall() and got.columns == want.columns
     assert got.first().documents == con.sql("select count(*) from documents where text <> ''").fetchall()[0][0]
+
+
+def test_rounding_as_sql(spark, tmp_path):
+    """Shares whose seventh decimal is a 5: of 640, 1280 and 3200 bytes, every share of ASCII letters."""
+    rows = [(n * 10_000 + k, "a" * k + "é" * ((n - k) // 2)) for n, step in ((640, 2), (1280, 4), (3200, 20)) for k in (*range(0, n, step), *(41, 323, 333, 82, 646, 666)) if k % 2 == 0 and k < n]
+    rows += [(n * 10_000 + k, "a" * k + "世" * ((n - k) // 3)) for n in (640, 3200) for k in range(1, n, 2) if (n - k) % 3 == 0]
+    spark.createDataFrame(rows, "doc_id long, text string").dropDuplicates(["doc_id"]).coalesce(1).selectExpr("*", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("ssr_documents", "ssr_native_documents"):
+        got = catalogue.queries()[name](spark, str(tmp_path))
+        want = con.sql(catalogue.oracle_sql()[name])
+        assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+    values = [0.5046875, -0.5046875, 41 / 640, 1.5, 1e303, -1e303, float("inf"), None]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", S.round_double(F.col("x"), 6).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [con.sql(f"select round('{x}'::double, 6)").fetchall()[0][0] if x is not None else None for x in values]
