@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import release, small_batches  # noqa: F401
+
 #: ASCII white space of all word rules: space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -113,23 +115,6 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0)
 
 
-def small_batches(spark: SparkSession, mb: int = 4) -> None:
-    """Arrow batches are cut by bytes, so that long texts don't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
-
-
-def release() -> None:
-    """Gives memory that a Python worker has freed back to the system: workers outlive their tasks, and others run beside them."""
-    import ctypes
-
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
 def ensure_file(path: str) -> str:
     if not os.path.exists(path):
         raise FileNotFoundError(path)

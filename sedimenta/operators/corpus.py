@@ -2,31 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..batches import PIECE, pieces, small_batches
 from .profile import byte_counts
 
 
+GRAMS = 1 << 19
+
+
+def _folded(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """One table (codes in order, counts) of several."""
+    v, k = (np.concatenate(x) for x in zip(*tables))
+    order = np.argsort(v, kind="stable")
+    v, k = v[order], k[order]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))[: len(v)]
+    return v[first], np.add.reduceat(k, first) if len(k) else k
+
+
+def _counted(batches: Iterable[pa.RecordBatch], n: int, once: bool, piece: int = PIECE, most: int = GRAMS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tables of codes and counts of a binary or string column's cells, whose sums are the counts of all. Texts are taken in pieces,
+    long ones too, and a table of over `most` codes is given on: what is held follows neither batches nor texts."""
+
+    def codes(data: bytes) -> Iterator[np.ndarray]:
+        for at in range(0, len(data) - n + 1, piece):
+            a = np.frombuffer(data, np.uint8, min(piece + n - 1, len(data) - at), at).astype(np.uint64)
+            out = np.zeros(len(a) - n + 1, np.uint64)
+            for k in range(n):
+                out = out << np.uint64(8) | a[k : k + len(out)]
+            yield out
+
+    def of(cells: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        wait: list[np.ndarray] = []
+        for data in cells:
+            if once:
+                own = np.empty(0, np.uint64)
+                for x in codes(data):
+                    own = np.union1d(own, x)
+                wait.append(own)
+                continue
+            for x in codes(data):
+                wait.append(x)
+                if len(x) == piece:
+                    yield np.unique(np.concatenate(wait), return_counts=True)
+                    wait = []
+        if wait:
+            yield np.unique(np.concatenate(wait), return_counts=True)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = after = 0
+    for batch in pieces(batches, 0, piece):
+        for found in of([x for x in batch.column(0).cast(pa.binary()).to_pylist() if x]):
+            held.append(found)
+            size += len(found[0])
+            if size - after > most // 2:
+                held = [_folded(held)]
+                size = after = len(held[0][0])
+                if size > most:
+                    yield held[0]
+                    held, size, after = [], 0, 0
+    if held:
+        yield _folded(held)
+
+
 def _gram_counts(df: DataFrame, col: str, n: int, once: bool) -> DataFrame:
-    """code (the gram's bytes as a number), n: counts by Arrow batch, of occurrences or (once) of objects. numpy counts a batch's
-    grams before anything is shuffled: exploding them in the JVM takes ten times as long."""
+    """code (the gram's bytes as a number), n: counts by task, of occurrences or (once) of objects. numpy counts grams before
+    anything is shuffled: exploding them in the JVM takes ten times as long."""
     if not 1 <= n <= 8:
         raise ValueError("n-grams have 1 to 8 bytes")
-
-    def codes(data: bytes) -> np.ndarray:
-        a = np.frombuffer(data, np.uint8).astype(np.uint64)
-        out = np.zeros(max(0, len(a) - n + 1), np.uint64)
-        for k in range(n):
-            out = out << np.uint64(8) | a[k : k + len(out)]
-        return np.unique(out) if once else out
+    small_batches(df.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            cells = [codes(x) for x in batch.column(0).cast(pa.binary()).to_pylist() if x]
-            v, k = np.unique(np.concatenate([np.empty(0, np.uint64), *cells]), return_counts=True)
+        for v, k in _counted(batches, n, once):
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(k.astype(np.int64))], names=["code", "n"])
 
     return df.select(col).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
