@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-PIECE = 1 << 20
+PIECE, ROWS = 1 << 20, 1000
 
 
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
@@ -26,13 +26,13 @@ def release() -> None:
         trim(0)
 
 
-def pieces(batches: Iterable[pa.RecordBatch], col: str | int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """All rows of the batches in order, in slices of at most `most` bytes of a text column, or of one row."""
+def pieces(batches: Iterable[pa.RecordBatch], col: str | int, most: int = PIECE, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in order, in slices of at most `rows` rows and `most` bytes of a text column, or of one row."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_pylist()
         start = held = 0
         for i, n in enumerate(sizes):
-            if i > start and held + n > most:
+            if i > start and (held + n > most or i - start == rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from ..batches import pieces, small_batches
 from .blobs import TRANSFORMS
 from .constraints import analyse
 from .profile import profile
@@ -169,8 +170,10 @@ def trials(df: DataFrame, id_col: str, col: str, names=tuple(TRIALS)) -> DataFra
     key = df.schema[id_col]
     schema = StructType([key, StructField("trial", StringType()), *(StructField(c, LongType()) for c in ("raw_size", "z_baseline", "z_after", "net_gain")), StructField("ratio", DoubleType()), StructField("applied", LongType()), StructField("error", StringType())])
 
+    small_batches(df.sparkSession)
+
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             rows, which = [], []
             for i, data in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
                 data = data or b""

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from sedimenta.batches import pieces
-from sedimenta.operators import corpus
+from sedimenta.operators import blobs, corpus, routing
 
 
 def batches(texts):
@@ -69,3 +69,18 @@ def test_grams_of_a_large_batch(spark):
         corpus._gram_counts(df, "text", 4, once)
         texts = ["".join(random.Random(i).choices("abcdef gh", k=4000)) for i in range(4000)]  # 16 MB
         assert peak(lambda: [0 for _ in df.run(batches(texts))]) < 80 << 20
+
+
+def keyed(n, size):
+    texts = ["".join(random.Random(i).choices("abcdef gh", k=size)) for i in range(n)]
+    return texts, pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+
+
+def test_trials_of_a_large_batch(spark):
+    df = Captured(spark, spark.createDataFrame([(1, "a")], "id long, text string").schema)
+    names = ("baseline", "lz4", "rle")
+    for n, size in ((2500, 20), (300, 10_000)):
+        routing.trials(df, "id", "text", names)
+        got = list(df.run(iter([keyed(n, size)[1]])))
+        assert [(r["id"], r["trial"], r["raw_size"]) for b in got for r in b.to_pylist()] == [(i, t, size) for i in range(n) for t in names]
+        assert max(b.num_rows for b in got) <= 3 * min(1000, (1 << 20) // size)
