@@ -84,3 +84,14 @@ def test_trials_of_a_large_batch(spark):
         got = list(df.run(iter([keyed(n, size)[1]])))
         assert [(r["id"], r["trial"], r["raw_size"]) for b in got for r in b.to_pylist()] == [(i, t, size) for i in range(n) for t in names]
         assert max(b.num_rows for b in got) <= 3 * min(1000, (1 << 20) // size)
+
+
+def test_transforms_of_a_large_batch(spark):
+    df = Captured(spark, spark.createDataFrame([(1, "a")], "id long, text string").schema)
+    for name, size, n in (("rle", 20, 2500), ("mtf", 10_000, 300)):
+        texts, batch = keyed(n, size)
+        blobs.apply(df, "text", name)
+        got = list(df.run(iter([batch])))
+        assert max(b.num_rows for b in got) <= min(1000, (1 << 20) // size)
+        blobs.apply(df, "encoded", name, True, "back")
+        assert [(r["id"], r["text"], r["back"].decode()) for b in df.run(iter(got)) for r in b.to_pylist()] == [(i, x, x) for i, x in enumerate(texts)]
